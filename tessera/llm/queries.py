@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, sharding
+from tessera.llm import ann, packing, sharding, wavelet
 from tessera.llm.shared import text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +17,21 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_swap_packing(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack(_table(spark, d, "documents"), capacity=1024, end_id=2).drop("ids")
+
+
 def op7_block_matrix_ann(spark: SparkSession, d: str) -> DataFrame:
     """Five nearest by cosine for every vec_id divisible by 50."""
     return ann.nearest(_table(spark, d, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
 
 
+def op9_wavelet_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of all documents from the wavelet files just written."""
+    return wavelet.encode_and_read(_table(spark, d, "documents"), end_id=0).drop("ids")
+
+
 def op10_hypergeometric_shards(spark: SparkSession, d: str) -> DataFrame:
     """16 shards, law "rows": a uniform shuffle whose shards differ by one row at most."""
     docs = sharding.uniform_shards(_table(spark, d, "documents"), "doc_id", 16)
@@ -37,7 +47,9 @@ def op10_hypergeometric_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_swap_packing": op2_swap_packing,
     "op7_block_matrix_ann": op7_block_matrix_ann,
+    "op9_wavelet_shards": op9_wavelet_shards,
     "op10_hypergeometric_shards": op10_hypergeometric_shards,
 }
 
