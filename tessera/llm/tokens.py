@@ -16,10 +16,10 @@ from functools import lru_cache
 import public_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-#: Pieces longer than LONGEST are encoded but not kept, and at most KEEP pieces are kept; both bound memory only.
-LONGEST, KEEP = 48, 800_000
-#: White space at an end or in runs. Without it every blank and line end is a place to cut.
-UNEVEN = re.compile(r"\s\s|^\s|\s\Z")
+#: Pieces longer than LONGEST are not kept, nor any beyond KEEP; both bound memory only.
+LONGEST, KEEP = 48, 1_200_000
+#: White space in runs. Without it, and without any at the ends, every blank and line end is a place to cut.
+RUN = re.compile(r"\s\s")
 #: Where a text with such white space may still be cut.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -43,24 +43,26 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         if not self.cuts or self.special.search(text):
             return [text]
-        if "\0" in text or UNEVEN.search(text):
+        if "\0" in text or text[0].isspace() or text[-1].isspace() or RUN.search(text):
             return CUT.split(text)
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         cut = [self._pieces(t) if t else [] for t in texts]
-        known, extra = self.known, {}
+        known = self.known
         fresh = list(set().union(*cut).difference(known))
+        full = len(known) + len(fresh) > KEEP
         for s in range(0, len(fresh), 4096):
             part = fresh[s : s + 4096]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                extra[piece] = array("I", e.ids).tobytes()
-        if len(known) + len(extra) <= KEEP:
-            known.update((p, b) for p, b in extra.items() if len(p) <= LONGEST)
-            extra = {p: b for p, b in extra.items() if len(p) > LONGEST}
-        get = (lambda p: known.get(p) or extra[p]) if extra else known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+                known[piece] = array("I", e.ids).tobytes()
+        get = known.__getitem__
+        out = [b"".join(map(get, pieces)) for pieces in cut]
+        for piece in fresh:
+            if full or len(piece) > LONGEST:
+                del known[piece]
+        return out
 
 
 @lru_cache(2)
