@@ -47,7 +47,7 @@ class WaveletMatrix:
             padded = np.zeros(-(-len(packed) // 64) * 64, np.uint8)
             padded[: len(packed)] = packed
             per = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64)
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            seq = seq[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])]
             planes.append(packed.tobytes())
             ones.append(np.concatenate([np.zeros(1, np.uint64), per.cumsum(dtype=np.uint64)]).tobytes())
             zeros.append(len(bit) - int(per.sum()))
@@ -120,8 +120,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, kind)
             zeros = self.zeros[level]
-            out[~bit] = seq[:zeros]
-            out[bit] = seq[zeros:] | kind(1 << shift)
+            seq[zeros:] |= kind(1 << shift)
+            out[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])] = seq
             seq = out
         return self.alphabet[seq] if self.n else np.zeros(0, np.uint32)
 
