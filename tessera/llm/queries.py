@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, mixing, packing, quality, secrets, sharding, wavelet
+from tessera.llm import ann, jaccard, mixing, packing, quality, secrets, sharding, wavelet
 from tessera.llm.shared import text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op2_swap_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), capacity=1024, end_id=2).drop("ids")
 
 
+def op3_parity_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """Shingle count and class of every document, links from a Jaccard similarity of 0.8 on."""
+    return jaccard.classes(_table(spark, d, "documents"))
+
+
 def op4_soft_mixing(spark: SparkSession, d: str) -> DataFrame:
     """Posteriors, fitted rate and copies of every document."""
     docs = _table(spark, d, "documents")
@@ -67,6 +72,7 @@ def op10_hypergeometric_shards(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_forest_secrets": op1_forest_secrets,
     "op2_swap_packing": op2_swap_packing,
+    "op3_parity_jaccard": op3_parity_jaccard,
     "op4_soft_mixing": op4_soft_mixing,
     "op7_block_matrix_ann": op7_block_matrix_ann,
     "op8_host_rules": op8_host_rules,

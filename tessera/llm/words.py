@@ -33,7 +33,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _tables or len(_tables[0]) < n:
         inverse = pow(_BASE, -1, 1 << 64)
         size = max(n, CHUNK)
-        _tables[:] = [np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, b)]).astype(np.uint64)) for b in (_BASE & _MASK, inverse)]
+        factors = np.full((2, size), [[_BASE & _MASK], [inverse]], np.uint64)
+        factors[:, 0] = 1
+        _tables[:] = np.multiply.accumulate(factors, axis=1)
     return _tables[0], _tables[1]
 
 
@@ -126,10 +128,10 @@ def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
                 np.not_equal(found[1:], found[:-1], out=keep[1:])
                 yield found[keep]
             elif n:
-                value = np.uint64(n)
-                for h in hashes[begin:end]:
-                    value = mix(np.array([value * _SHINGLE[1] + h]))[0]
-                yield np.array([value])
+                value = np.array([n], np.uint64)
+                for k in range(begin, end):
+                    value = mix(value * _SHINGLE[1] + hashes[k : k + 1])
+                yield value
             else:
                 yield np.zeros(0, np.uint64)
             begin = end
