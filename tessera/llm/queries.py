@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, jaccard, mixing, packing, quality, secrets, sharding, wavelet
+from tessera.llm import ann, jaccard, mixing, ngram_lm, packing, quality, secrets, sharding, wavelet
 from tessera.llm.shared import text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op4_soft_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(docs, mixing.labelled_texts(docs, _table(spark, d, "labels")), carry=["doc_id"])
 
 
+def op5_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
+    """Base and model scores of every document, learnt from those that are not held out."""
+    return ngram_lm.train_and_score(_table(spark, d, "documents"))
+
+
 def op7_block_matrix_ann(spark: SparkSession, d: str) -> DataFrame:
     """Five nearest by cosine for every vec_id divisible by 50."""
     return ann.nearest(_table(spark, d, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op2_swap_packing": op2_swap_packing,
     "op3_parity_jaccard": op3_parity_jaccard,
     "op4_soft_mixing": op4_soft_mixing,
+    "op5_kneser_ney": op5_kneser_ney,
     "op7_block_matrix_ann": op7_block_matrix_ann,
     "op8_host_rules": op8_host_rules,
     "op9_wavelet_shards": op9_wavelet_shards,
