@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, jaccard, mixing, ngram_lm, packing, quality, secrets, sharding, wavelet
+from tessera.llm import ann, jaccard, mixing, ngram_lm, packing, quality, secrets, sharding, suffix_dedup, wavelet
 from tessera.llm.shared import text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op5_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
     return ngram_lm.train_and_score(_table(spark, d, "documents"))
 
 
+def op6_run_length_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that an earlier one holds."""
+    cut = suffix_dedup.remove_repeats(_table(spark, d, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_block_matrix_ann(spark: SparkSession, d: str) -> DataFrame:
     """Five nearest by cosine for every vec_id divisible by 50."""
     return ann.nearest(_table(spark, d, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op3_parity_jaccard": op3_parity_jaccard,
     "op4_soft_mixing": op4_soft_mixing,
     "op5_kneser_ney": op5_kneser_ney,
+    "op6_run_length_dedup": op6_run_length_dedup,
     "op7_block_matrix_ann": op7_block_matrix_ann,
     "op8_host_rules": op8_host_rules,
     "op9_wavelet_shards": op9_wavelet_shards,
