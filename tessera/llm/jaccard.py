@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.shared import materialize
+from tessera.llm.shared import materialize, small_batches
 from tessera.llm.words import mix, shingle_sets
 
 WORDS = 5
@@ -176,6 +176,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     without words, has no shingles and links with nothing. A null id takes no part and has a null component. Rows that
     share an id are one document to the links: any of their texts may link it. Empty tables give no rows.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialize(given.mapInArrow(_sketches, SKETCH), "sketches")
     named = base.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")

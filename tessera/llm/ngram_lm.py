@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.jaccard import runs
-from tessera.llm.shared import fresh_path
+from tessera.llm.shared import fresh_path, small_batches
 from tessera.llm.words import mix, word_hashes
 
 #: Hashes of the beginning, which is only ever a context, and of the end, which is a token.
@@ -199,6 +199,7 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> d
     """Count the texts of docs and write the model's files below path; returns what scoring needs besides them."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "lm")
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     shards = min(MAX_SHARDS, max(1, -(-size // SHARD_BYTES)))
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted(shards), BLOB_DDL)
@@ -299,6 +300,7 @@ def score(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str =
 
     A null text is empty: its only token is the end. An untrained model gives every token the uniform probability.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scored(about), SCORED_DDL)
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import materialize, small_batches
 from tessera.llm.tokens import DEFAULT_VOCABULARY, worker_encoder
 
 Group = tuple[tuple[int, ...], int]  # lengths in a bin, number of such bins
@@ -153,6 +153,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     A null or empty text is a document of end_id alone. Rows that share an id, or have none, are separate documents.
     Empty tables give no rows. Other columns of docs are ignored.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialize(given.mapInArrow(tokenised(vocabulary, end_id, capacity), PIECES), "pieces")

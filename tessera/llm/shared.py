@@ -37,6 +37,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows from now on in this session: texts may be long, and a batch is held as a whole."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file systems."""
     jvm = spark._jvm

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.jaccard import runs
 from tessera.llm.ngram_lm import load, save
-from tessera.llm.shared import fresh_path
+from tessera.llm.shared import fresh_path, small_batches
 from tessera.llm.words import _powers, mix, texts_of
 
 WINDOW, ANCHOR = 50, 16
@@ -306,6 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     given = given.withColumn("row", F.xxhash64("doc_id", "text"))
     named = given.filter("doc_id IS NOT NULL AND octet_length(text) >= 50")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import fresh_path
+from tessera.llm.shared import fresh_path, small_batches
 from tessera.llm.tokens import DEFAULT_VOCABULARY, worker_encoder
 
 BLOCK = 512  # bits per entry of the directory
@@ -163,6 +163,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     A null text is empty. Rows that share an id are separate documents, ordered by their text; a null id comes first.
     A shard closes after shard_tokens; a longer document makes its shard as much longer.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
