@@ -7,9 +7,9 @@ XORed into its segment's 64-bit signature. k differing hashes touch at most k se
 segment with equal signature, even among the k + 1 smallest of each set's signatures (prefix principle). Those
 signatures are joined per size band; what meets is verified on the whole texts.
 
-Groups are never expanded into all pairs. First every document is verified against one partner, a smallest
-document that it shares most signatures with. Only signature groups that still hold several components are compared further, in blocks, and
-only pairs whose sketches' Hamming distance allows a link are verified.
+Groups are never expanded into all pairs. In a few rounds every document is verified against one partner, the centre of
+most of its signature groups. Only groups that then still hold several components are compared further, in blocks,
+and only pairs whose sketches' Hamming distance allows a link are verified.
 """
 
 from __future__ import annotations
@@ -147,26 +147,83 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(dealt.mapInArrow(_verified, "a long, b long"), "links")
 
 
+PAIRS_AT_ONCE = 200_000
+
+
 def _near(batches):
-    """Pairs of sorted (cell, side, doc_id, component, n_shingles, sketch) that lie in different components and may link."""
+    """Pairs of sorted (cell, side, doc_id, component, n_shingles, sketch) that lie in different components and may link.
+
+    Pairs of many cells are compared together, each distinct pair once.
+    """
+    left, right, size, held = [], [], {}, 0
+    sketches: dict[int, np.ndarray] = {}
+
+    def flush():
+        a, b = np.concatenate(left), np.concatenate(right)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        widths = np.array([min(len(sketches[x]), len(sketches[y])) for x, y in pairs.tolist()])
+        for width in np.unique(widths).tolist():
+            same = pairs[widths == width]
+            for s in range(0, len(same), max(1, (1 << 23) // width)):
+                part = same[s : s + max(1, (1 << 23) // width)]
+                x, y = (np.stack([folded(sketches[d], width) for d in part[:, k].tolist()]) for k in (0, 1))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                both = np.array([size[p] + size[q] for p, q in part.tolist()])
+                kept = part[9 * apart <= both]
+                if len(kept):
+                    yield pa.record_batch([pa.array(kept[:, 0]), pa.array(kept[:, 1])], schema=PAIR)
+
     for _, rows in runs(batches, "cell"):
         side, ids, comp, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("side", "doc_id", "component", "n_shingles"))
         if len(ids) < 2 or comp.min() == comp.max():
             continue
-        sketch = [np.frombuffer(x, np.uint8) for x in rows.column("sketch").to_pylist()]
-        out_a, out_b = [], []
-        for i in range(len(ids)):
-            # Blocks meet other blocks from one side only; a block meets itself once.
-            other = (ids > ids[i]) if side[i] == 2 else (side == 1) if side[i] == 0 else np.zeros(len(ids), bool)
-            other &= (comp != comp[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
-            for j in np.flatnonzero(other).tolist():
-                size = min(len(sketch[i]), len(sketch[j]))
-                apart = int(np.bitwise_count(folded(sketch[i], size) ^ folded(sketch[j], size)).sum())
-                if 9 * apart <= n[i] + n[j]:
-                    out_a.append(min(ids[i], ids[j]))
-                    out_b.append(max(ids[i], ids[j]))
-        if out_a:
-            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=PAIR)
+        # Blocks meet other blocks from one side only; a block meets itself once.
+        if side[0] == 2:
+            i, j = np.triu_indices(len(ids), 1)
+        else:
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
+        fits = (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (ids[i] != ids[j])
+        i, j = i[fits], j[fits]
+        if not len(i):
+            continue
+        column = rows.column("sketch")
+        for k in np.unique(np.concatenate([i, j])).tolist():
+            if int(ids[k]) not in sketches:
+                sketches[int(ids[k])] = np.frombuffer(column[k].as_py(), np.uint8)
+                size[int(ids[k])] = int(n[k])
+        left.append(ids[i])
+        right.append(ids[j])
+        held += len(i)
+        if held >= PAIRS_AT_ONCE:
+            yield from flush()
+            left, right, size, sketches, held = [], [], {}, {}, 0
+    if held:
+        yield from flush()
+
+
+STAR_ROUNDS = 3
+
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, n_shingles, component) of the signature groups that hold several components."""
+    spread = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return rows.join(spread, "key", "left_semi")
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """For each document one partner (a, b): of the centres of its groups, the one that it meets most often.
+
+    A group's centre is the document that shares most signatures, as an original does with its edited copies.
+    """
+    weight = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_w"))
+    order = Window.partitionBy("key").orderBy(F.desc("_w"), "doc_id")
+    first = F.first(F.struct("doc_id", "n_shingles", "component")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    met = rows.join(weight, "doc_id").withColumn("c", first)
+    fits = 5 * F.least("c.n_shingles", "n_shingles") >= 4 * F.greatest("c.n_shingles", "n_shingles")
+    met = met.filter((F.col("c.component") != F.col("component")) & fits)
+    votes = met.groupBy("doc_id", F.col("c.doc_id").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("centre")).alias("minus"))).alias("best"))
+    return best.select((-F.col("best.minus")).alias("a"), F.col("doc_id").alias("b"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,19 +242,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = groups.select(F.col("rep").alias("doc_id")).distinct()
     keyed = named.join(reps, "doc_id", "left_semi")
     exploded = keyed.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy("n_shingles", "doc_id")
-    first = F.first(F.struct("doc_id", "n_shingles")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    near = exploded.withColumns({"centre": first, "_other": F.coalesce(F.lag("doc_id").over(order), F.lead("doc_id").over(order))})
-    shared = materialize(near.filter("_other IS NOT NULL").select("key", "doc_id", "n_shingles", "centre"), "shared")
-
-    fits = 5 * F.col("centre.n_shingles") >= 4 * F.col("n_shingles")
-    votes = shared.filter((F.col("centre.doc_id") != F.col("doc_id")) & fits).groupBy("doc_id", F.col("centre.doc_id").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("centre")).alias("minus"))).alias("best"))
-    pairs = best.select((-F.col("best.minus")).alias("a"), F.col("doc_id").alias("b"))
-    links = verify(pairs, given)
-    found = components(links)
-
-    labelled = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    order = Window.partitionBy("key").orderBy("doc_id")
+    near = exploded.withColumn("_other", F.coalesce(F.lag("doc_id").over(order), F.lead("doc_id").over(order)))
+    shared = materialize(near.filter("_other IS NOT NULL").select("key", "doc_id", "n_shingles"), "shared")
+
+    links, found = None, docs.sparkSession.createDataFrame([], "node long, component long")
+    labelled = shared.withColumn("component", F.col("doc_id"))
+    for _ in range(STAR_ROUNDS):
+        new = verify(star_pairs(labelled), given)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionAll(new)
+        found = components(links)
+        named_rows = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        labelled = materialize(still_open(named_rows.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))), "open")
     # Signature groups that one component does not cover, cut into blocks that meet pairwise.
     whole = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n")
     open_rows = labelled.join(whole, "key")
@@ -209,8 +267,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     cells = cells.join(keyed.select("doc_id", "sketch"), "doc_id").repartition("cell").sortWithinPartitions("cell", "doc_id")
     candidates = materialize(cells.mapInArrow(_near, "a long, b long"), "candidates").distinct()
     if not candidates.isEmpty():
-        links = links.unionAll(verify(candidates, given))
-        found = components(links)
+        late = verify(candidates, given)
+        found = components(late if links is None else links.unionAll(late))
 
     of_set = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("set_hash").alias("_set"), F.coalesce("component", "rep").alias("_component"))
     out = base.select("doc_id", "n_shingles", "set_hash").join(of_set, F.col("set_hash") == F.col("_set"), "left")
