@@ -134,7 +134,19 @@ def load(path: str) -> list[np.ndarray]:
                     near.write(part)
             near.flush()
             data = np.memmap(near.name, np.uint8, "r")
-    data = np.asarray(data)
+    return _arrays_of(np.asarray(data))
+
+
+def read_file(path: str) -> list[np.ndarray]:
+    """The arrays of a saved file, read as a whole."""
+    import pyarrow.fs as pafs
+
+    where, name = pafs.FileSystem.from_uri(path)
+    with where.open_input_stream(name) as far:
+        return _arrays_of(np.frombuffer(far.read(), np.uint8))
+
+
+def _arrays_of(data: np.ndarray) -> list[np.ndarray]:
     n = int(data[:8].view(np.int64)[0])
     at, out = 8 + 16 * n, []
     for i in range(n):

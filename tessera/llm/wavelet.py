@@ -1,4 +1,4 @@
-"""Token ids in wavelet matrices: one compressed Parquet file per shard of consecutive documents.
+"""Token ids in wavelet matrices: one compressed file per shard of consecutive documents.
 
 A shard holds the token sequence of whole documents in ascending id order as succinct bit-planes over its own
 alphabet, with a directory of ones per 512 bits. One file supports token access, counting a token in any range, and
@@ -11,16 +11,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.ngram_lm import read_file, save
 from tessera.llm.shared import fresh_path, small_batches
 from tessera.llm.tokens import DEFAULT_VOCABULARY, worker_encoder
 
 BLOCK = 512  # bits per entry of the directory
-FORMAT = "part int, shard int, n_tokens long, doc_ids binary, lengths binary, no_id binary, alphabet binary, zeros array<bigint>, planes array<binary>, ones array<binary>"
-FIELDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("no_id", pa.binary()), ("alphabet", pa.binary()), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ones", pa.list_(pa.binary()))])
+MANIFEST_DDL = "part int, shard int, n_tokens long"
+MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64())])
 
 
 class WaveletMatrix:
@@ -126,17 +128,37 @@ class WaveletMatrix:
         return self.alphabet[seq] if self.n else np.zeros(0, np.uint32)
 
 
-def _writer(vocabulary: str, end_id: int, shard_tokens: int):
+def packed(a: np.ndarray) -> np.ndarray:
+    """An array compressed: its type and its size before, then the bytes."""
+    head = a.dtype.str.encode().ljust(8) + np.int64(a.nbytes).tobytes()
+    return np.frombuffer(head + zstandard.ZstdCompressor(level=3).compress(a.tobytes()), np.uint8)
+
+
+def unpacked(a: np.ndarray) -> np.ndarray:
+    """What packed() was given."""
+    raw = a.tobytes()
+    size = int(np.frombuffer(raw[8:16], np.int64)[0])
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[16:], max_output_size=size), np.dtype(raw[:8].decode().strip()))
+
+
+def open_shard(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
+    """doc_ids, which of them are known, lengths and the matrix of one file."""
+    sizes, ids, lengths, known, alphabet, zeros, *rest = map(unpacked, read_file(path))
+    n, levels = int(sizes[0]), int(sizes[1])
+    return ids, known.astype(bool), lengths, WaveletMatrix(n, alphabet, zeros.tolist(), [p.tobytes() for p in rest[:levels]], [o.tobytes() for o in rest[levels:]])
+
+
+def _writer(path: str, vocabulary: str, end_id: int, shard_tokens: int):
     tail = np.uint32(end_id).tobytes()
 
     def shard_row(part: int, number: int, docs: list, ids: list[bytes]) -> pa.RecordBatch:
         m = WaveletMatrix.build(np.frombuffer(b"".join(ids), np.uint32))
-        row = {
-            "part": part, "shard": number, "n_tokens": m.n,
-            "doc_ids": np.array([d or 0 for d in docs], np.int64).tobytes(), "lengths": np.array([len(i) // 4 for i in ids], np.int64).tobytes(), "no_id": np.array([d is None for d in docs], np.uint8).tobytes(),
-            "alphabet": m.alphabet.tobytes(), "zeros": m.zeros, "planes": [p.tobytes() for p in m.planes], "ones": [o.tobytes() for o in m.ones],
-        }
-        return pa.RecordBatch.from_pylist([row], schema=FIELDS)
+        lengths = np.array([len(i) // 4 for i in ids], np.int64)
+        known = np.array([d is not None for d in docs], np.uint8)
+        sizes = [m.n, len(m.planes), len(docs)]
+        arrays = [np.array(sizes, np.int64), np.array([d or 0 for d in docs], np.int64), lengths, known, m.alphabet, np.array(m.zeros, np.int64), *m.planes, *m.ones]
+        save(f"{path}/{part:06d}-{number:06d}.wm", [packed(a) for a in arrays])
+        return pa.RecordBatch.from_pylist([{"part": part, "shard": number, "n_tokens": m.n}], schema=MANIFEST)
 
     def run(batches):
         part, encoder, number = TaskContext.get().partitionId(), worker_encoder(vocabulary), 0
@@ -167,39 +189,40 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    shards = ordered.mapInArrow(_writer(vocabulary, end_id, shard_tokens), FORMAT)
-    shards.write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
+    shards = ordered.mapInArrow(_writer(path, vocabulary, end_id, shard_tokens), MANIFEST_DDL)
+    shards.write.parquet(f"{path}/manifest")
 
 
-def _reader(batches):
+def _reader(path: str):
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("inner", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-            m = WaveletMatrix(row["n_tokens"], np.frombuffer(row["alphabet"], np.uint32), row["zeros"], row["planes"], row["ones"])
-            data = m.decode().tobytes()
-            ids, lengths, none = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["no_id"], np.uint8)
-            ends = lengths.cumsum()
-            for s in range(0, len(ids), 1024):
-                part = slice(s, s + 1024)
-                own = [data[4 * (e - n) : 4 * e] for e, n in zip(ends[part].tolist(), lengths[part].tolist(), strict=True)]
-                k = len(own)
-                yield pa.record_batch(
-                    [pa.array([row["part"]] * k, pa.int32()), pa.array([row["shard"]] * k, pa.int32()), pa.array(ids[part], mask=none[part].astype(bool)), pa.array((ends - lengths)[part]), pa.array(lengths[part]), pa.array(own, pa.binary()), pa.array([zlib.crc32(o) for o in own], pa.int64())],
-                    schema=schema,
-                )
+
+    def run(batches):
+        for batch in batches:
+            for part, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, known, lengths, m = open_shard(f"{path}/{part:06d}-{shard:06d}.wm")
+                data, ends = m.decode().tobytes(), lengths.cumsum()
+                for s in range(0, len(ids), 1024):
+                    some = slice(s, s + 1024)
+                    own = [data[4 * (e - n) : 4 * e] for e, n in zip(ends[some].tolist(), lengths[some].tolist(), strict=True)]
+                    k = len(own)
+                    yield pa.record_batch(
+                        [pa.array([part] * k, pa.int32()), pa.array([shard] * k, pa.int32()), pa.array(ids[some], mask=~known[some]), pa.array((ends - lengths)[some]), pa.array(lengths[some]), pa.array(own, pa.binary()), pa.array([zlib.crc32(o) for o in own], pa.int64())],
+                        schema=schema,
+                    )
+
+    return run
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Every document from the files: doc_id, start (ids of all documents before it), n_tokens, ids, ids_crc32."""
-    shards = spark.read.schema(FORMAT).parquet(path)
-    sizes = shards.select("part", "shard", "n_tokens")
+    sizes = spark.read.schema(MANIFEST_DDL).parquet(f"{path}/manifest")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row per written partition goes to this unpartitioned window.
     before_part = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_part"))
     own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("_shard")).join(before_part, "part")
-    docs = shards.mapInArrow(_reader, "part int, shard int, doc_id long, inner long, n_tokens long, ids binary, ids_crc32 long")
+    # One row a shard: spread over the tasks, each opens the files of its rows.
+    docs = sizes.repartition("part", "shard").mapInArrow(_reader(path), "part int, shard int, doc_id long, inner long, n_tokens long, ids binary, ids_crc32 long")
     found = docs.join(base.select("part", "shard", (F.col("_part") + F.col("_shard")).alias("_base")), ["part", "shard"])
     return found.select("doc_id", (F.col("_base") + F.col("inner")).alias("start"), "n_tokens", "ids", "ids_crc32")
 

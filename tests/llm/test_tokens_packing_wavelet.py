@@ -119,5 +119,7 @@ def test_shards_come_back(spark):
         want.append((None if doc < 0 else doc, start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes()))
         start += len(ids)
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in got), key=lambda x: x[1]) == want
-    assert spark.read.parquet(path).count() > 3
+    assert spark.read.parquet(f"{path}/manifest").count() > 3
+    ids, known, lengths, m = wavelet.open_shard(f"{path}/000000-000000.wm")
+    assert not known[0] and m.n == lengths.sum() and m.count(0) >= len(ids) and m.locate(0, 0) == lengths[0] - 1
     assert wavelet.encode_and_read(df.limit(0)).count() == 0
