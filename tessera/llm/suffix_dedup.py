@@ -27,7 +27,7 @@ from tessera.llm.words import _powers, mix, texts_of
 
 WINDOW, ANCHOR = 50, 16
 #: Windows handled at once (longer texts are cut between windows), and text bytes behind one shard.
-CHUNK, SHARD_BYTES, MAX_SHARDS = 1 << 20, 48 << 20, 1 << 14
+CHUNK, SHARD_BYTES, MAX_SHARDS, SLICES = 1 << 18, 32 << 20, 1 << 14, 4
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 BLOB_DDL = "shard long, kind string, body array<binary>"
 BLOB = pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("body", pa.list_(pa.binary()))])
@@ -48,9 +48,17 @@ def _split(arrays, shard: np.ndarray, kind: str):
         yield _blob(at[i], kind, [a[order[i:j]] for a in arrays])
 
 
-def _gathered(rows: pa.RecordBatch, kind: str, kinds: list) -> list[np.ndarray]:
-    found = [b for k, b in zip(rows.column("kind").to_pylist(), rows.column("body").to_pylist(), strict=True) if k == kind]
-    return [np.frombuffer(b"".join(b[i] for b in found), t) for i, t in enumerate(kinds)]
+def _gathered(rows: pa.RecordBatch, kind: str, kinds: list, wanted=None) -> list[np.ndarray]:
+    """The arrays of all blobs of a kind; wanted: which rows, by the first array."""
+    is_kind, body = rows.column("kind").to_pylist(), rows.column("body")
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for i, k in enumerate(is_kind):
+        if k == kind:
+            arrays = [np.frombuffer(b.as_buffer(), t) for b, t in zip(body[i].values, kinds, strict=True)]
+            keep = slice(None) if wanted is None else wanted(arrays[0])
+            for o, a in zip(out, arrays, strict=True):
+                o.append(a[keep])
+    return [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, kinds, strict=True)]
 
 
 def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -123,23 +131,26 @@ def _settled(shards: int):
 
     def run(batches):
         for _, rows in runs(batches, "shard"):
-            gram, content, before, after, doc, row, at = _gathered(rows, "stretch", STRETCH)
-            order = np.lexsort((doc, content, gram))
-            gram, content, before, after, doc, row, at = (x[order] for x in (gram, content, before, after, doc, row, at))
-            of_gram = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            of_class = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])]))
-            class_size, gram_size = np.diff(np.append(of_class, len(gram))), np.diff(np.append(of_gram, len(gram)))
-            earliest = np.repeat(doc[of_class], class_size)
-            repeat = doc > earliest
-            start, end = at - before, at + after
-            if repeat.any():
-                yield from _split([row[repeat], start[repeat], end[repeat]], _row_shard(row[repeat], shards), "span")
-            # Anchors with several contents in several documents: the earliest stretches of each content stay open.
-            classes = np.repeat(np.add.reduceat(np.bincount(of_class, minlength=len(gram)), of_gram), gram_size) if len(gram) else np.zeros(0)
-            several = np.repeat(np.minimum.reduceat(doc, of_gram) != np.maximum.reduceat(doc, of_gram), gram_size) if len(gram) else np.zeros(0, bool)
-            still = (classes > 1) & several & ~repeat
-            if still.any():
-                yield from _split([row[still], start[still], end[still]], _row_shard(row[still], shards), "open")
+            for part in range(SLICES):  # anchors by anchors, to sort less at once
+                found = _gathered(rows, "stretch", STRETCH, lambda gram, part=part: gram % SLICES == part)
+                if not len(found[0]):
+                    continue
+                order = np.lexsort((found[4], found[1], found[0]))
+                gram, content, before, after, doc, row, at = (x[order] for x in found)
+                of_gram = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+                of_class = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])]))
+                class_size, gram_size = np.diff(np.append(of_class, len(gram))), np.diff(np.append(of_gram, len(gram)))
+                earliest = np.repeat(doc[of_class], class_size)
+                repeat = doc > earliest
+                start, end = at - before, at + after
+                if repeat.any():
+                    yield from _split([row[repeat], start[repeat], end[repeat]], _row_shard(row[repeat], shards), "span")
+                # Anchors with several contents in several documents: the earliest stretches of each content stay open.
+                classes = np.repeat(np.add.reduceat(np.bincount(of_class, minlength=len(gram)), of_gram), gram_size)
+                several = np.repeat(np.minimum.reduceat(doc, of_gram) != np.maximum.reduceat(doc, of_gram), gram_size)
+                still = (classes > 1) & several & ~repeat
+                if still.any():
+                    yield from _split([row[still], start[still], end[still]], _row_shard(row[still], shards), "open")
 
     return run
 
