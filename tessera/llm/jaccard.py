@@ -144,7 +144,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = members.unionAll(centres)
     texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("cell", "is_member", "doc_id", "text")
     dealt = texts.repartition("cell").sortWithinPartitions("cell", "is_member", "doc_id")
-    return materialize(dealt.mapInArrow(_verified, "a long, b long"), "links")
+    return materialize(dealt.mapInArrow(_verified, "a long, b long"), "links", small=True)
 
 
 PAIRS_AT_ONCE = 200_000
@@ -265,7 +265,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     side = F.when(F.col("_block") == F.col("_with"), 2).when(F.col("_block") < F.col("_with"), 0).otherwise(1)
     cells = placed.select(F.xxhash64("key", F.least("_block", "_with"), F.greatest("_block", "_with")).alias("cell"), side.alias("side"), "doc_id", "component", "n_shingles")
     cells = cells.join(keyed.select("doc_id", "sketch"), "doc_id").repartition("cell").sortWithinPartitions("cell", "doc_id")
-    candidates = materialize(cells.mapInArrow(_near, "a long, b long"), "candidates").distinct()
+    candidates = materialize(cells.mapInArrow(_near, "a long, b long").distinct(), "candidates", small=True)
     if not candidates.isEmpty():
         late = verify(candidates, given)
         found = components(late if links is None else links.unionAll(late))

@@ -29,11 +29,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, what: str, small: bool = False) -> DataFrame:
+    """Write a table into the shared folder and read it again: cuts lineage and survives lost executors.
+
+    small: few rows in many partitions; they are merged first, so that no crowd of tiny files results.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
