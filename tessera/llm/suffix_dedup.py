@@ -28,11 +28,14 @@ from tessera.llm.words import _powers, mix, texts_of
 WINDOW, ANCHOR = 50, 16
 #: Windows handled at once (longer texts are cut between windows), and text bytes behind one shard.
 CHUNK, SHARD_BYTES, MAX_SHARDS, SLICES = 1 << 18, 32 << 20, 1 << 14, 4
+INDEX_BYTES = 2 << 20  # text behind one run-length index
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 BLOB_DDL = "shard long, kind string, body array<binary>"
 BLOB = pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("body", pa.list_(pa.binary()))])
 STRETCH = [np.uint32, np.uint64, np.uint8, np.uint8, np.int64, np.uint64, np.int64]  # anchor, content, before, after, doc_id, row, position
-SPAN = [np.uint64, np.int64, np.int64]  # row, start, end
+SPAN = [np.uint64, np.uint32, np.uint16]  # row, start, size
+OPEN = [*SPAN, np.uint32, np.uint16]  # and the anchor and its shard
+KINDS = {"span": SPAN, "open": OPEN}
 
 
 def _blob(shard: int, kind: str, arrays) -> pa.RecordBatch:
@@ -62,14 +65,17 @@ def _gathered(rows: pa.RecordBatch, kind: str, kinds: list, wanted=None) -> list
 
 
 def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """first window, last window, anchor position, anchor hash (32 bits), content hash of each stretch of concatenated texts."""
+    """first window, last window, anchor position, anchor hash, content hash of each stretch of concatenated texts.
+
+    The hash's upper half chose the anchor as the smallest, so it is small; its lower half is even.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < WINDOW:
-        return none, none, none, none.astype(np.uint32), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     eight = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data).data, strides=(1,))
-    grams = mix(eight[: len(data) - ANCHOR + 1] * _C[0] + eight[8 : 8 + len(data) - ANCHOR + 1] * _C[1]) >> np.uint64(32)
+    grams = mix(eight[: len(data) - ANCHOR + 1] * _C[0] + eight[8 : 8 + len(data) - ANCHOR + 1] * _C[1])
     # Hash and position in one number: the minimum is the leftmost smallest.
-    least = (grams << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
+    least = (grams & np.uint64(0xFFFFFFFF << 32)) | np.arange(len(grams), dtype=np.uint64)
     width, span = 1, WINDOW - ANCHOR + 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -81,7 +87,7 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     windows = np.repeat(begins - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
     anchor = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if not len(windows):
-        return none, none, none, none.astype(np.uint32), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     # Anchors rise within a text, and an anchor lies inside its text: a new one starts a new stretch.
     new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     first, last, anchor = windows[new], windows[np.concatenate([new[1:], [len(windows)]]) - 1], anchor[new]
@@ -89,7 +95,7 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
     size = (last + WINDOW - first).astype(np.uint64)
     content = mix((sums[last + WINDOW] - sums[first]) * inverse[first] + size * _C[2] + (anchor - first).astype(np.uint64) * _C[1])
-    return first, last, anchor, grams[anchor].astype(np.uint32), content
+    return first, last, anchor, grams[anchor], content
 
 
 def _pieces(batch: pa.RecordBatch):
@@ -115,8 +121,9 @@ def _anchored(shards: int):
                 first, last, anchor, gram, content = stretches(data, ends)
                 own = np.searchsorted(ends, first, side="right")
                 begins = np.concatenate([[0], ends[:-1]])
-                shard = ((mix(gram.astype(np.uint64)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                arrays = [gram, content, (anchor - first).astype(np.uint8), (last - anchor + WINDOW).astype(np.uint8), ids[rows[own]].astype(np.int64), keys[rows[own]], anchor - begins[own] + base[own]]
+                # One half deals to shards, the other tells anchors apart within a shard.
+                shard = ((mix(gram >> np.uint64(32)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+                arrays = [gram.astype(np.uint32), content, (anchor - first).astype(np.uint8), (last - anchor + WINDOW).astype(np.uint8), ids[rows[own]].astype(np.int64), keys[rows[own]], anchor - begins[own] + base[own]]
                 yield from _split(arrays, shard, "stretch")
 
     return run
@@ -130,7 +137,7 @@ def _settled(shards: int):
     """Per shard of anchors: spans of stretches whose content an earlier document has, and requests for what is left open."""
 
     def run(batches):
-        for _, rows in runs(batches, "shard"):
+        for number, rows in runs(batches, "shard"):
             for part in range(SLICES):  # anchors by anchors, to sort less at once
                 found = _gathered(rows, "stretch", STRETCH, lambda gram, part=part: gram % SLICES == part)
                 if not len(found[0]):
@@ -142,15 +149,16 @@ def _settled(shards: int):
                 class_size, gram_size = np.diff(np.append(of_class, len(gram))), np.diff(np.append(of_gram, len(gram)))
                 earliest = np.repeat(doc[of_class], class_size)
                 repeat = doc > earliest
-                start, end = at - before, at + after
+                start, size = (at - before).astype(np.uint32), before.astype(np.uint16) + after
                 if repeat.any():
-                    yield from _split([row[repeat], start[repeat], end[repeat]], _row_shard(row[repeat], shards), "span")
+                    yield from _split([row[repeat], start[repeat], size[repeat]], _row_shard(row[repeat], shards), "span")
                 # Anchors with several contents in several documents: the earliest stretches of each content stay open.
                 classes = np.repeat(np.add.reduceat(np.bincount(of_class, minlength=len(gram)), of_gram), gram_size)
                 several = np.repeat(np.minimum.reduceat(doc, of_gram) != np.maximum.reduceat(doc, of_gram), gram_size)
                 still = (classes > 1) & several & ~repeat
                 if still.any():
-                    yield from _split([row[still], start[still], end[still]], _row_shard(row[still], shards), "open")
+                    own = np.full(int(still.sum()), number, np.uint16)
+                    yield from _split([row[still], start[still], size[still], gram[still], own], _row_shard(row[still], shards), "open")
 
     return run
 
@@ -162,21 +170,25 @@ def _stored(path: str, prefix: str = ""):
     def run(batches):
         for shard, rows in runs(batches, "shard"):
             for kind in sorted(set(rows.column("kind").to_pylist())):
-                row, start, end = _gathered(rows, kind, SPAN)
-                order = np.lexsort((start, row))
-                save(f"{path}/{prefix}{kind}-{shard}", [row[order], start[order], end[order]])
+                found = _gathered(rows, kind, KINDS[kind])
+                order = np.lexsort((found[1], found[0]))
+                save(f"{path}/{prefix}{kind}-{shard}", [x[order] for x in found])
                 yield pa.RecordBatch.from_pylist([{"kind": prefix + kind, "shard": int(shard)}], schema=schema)
 
     return run
 
 
-def _of_row(path: str, kind: str, there: set, shards: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+def _of_row(path: str, kind: str, there: set, shards: int, row: int) -> list[np.ndarray]:
+    """What a file holds for a row, but for the row itself."""
     shard = ((row >> 32) * shards) >> 32
     if (kind, shard) not in there:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, start, end = load(f"{path}/{kind}-{shard}")
+        return [np.zeros(0, t) for t in KINDS[kind.removeprefix("late-")][1:]]
+    keys, *rest = load(f"{path}/{kind}-{shard}")
     i, j = np.searchsorted(keys, np.uint64(row)), np.searchsorted(keys, np.uint64(row), side="right")
-    return start[i:j], end[i:j]
+    return [x[i:j] for x in rest]
+
+
+TEXT = [np.uint8, np.int64, np.uint64, np.uint32, np.uint32, np.uint8]  # size, doc_id, row, position, anchor; the bytes
 
 
 def _requested(path: str, there: set, shards: int):
@@ -186,33 +198,28 @@ def _requested(path: str, there: set, shards: int):
         for batch in batches:
             data, at = texts_of(batch.column("text"))
             keys, ids = batch.column("row").to_numpy().view(np.uint64), batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for s in range(0, batch.num_rows, 256):
-                starts, ends, docs, rows, places = [], [], [], [], []
-                for i in range(s, min(batch.num_rows, s + 256)):
-                    start, end = _of_row(path, "open", there, shards, int(keys[i]))
+            for s in range(0, batch.num_rows, 64):
+                found = []
+                for i in range(s, min(batch.num_rows, s + 64)):
+                    start, size, gram, shard = _of_row(path, "open", there, shards, int(keys[i]))
                     if len(start):
-                        starts.append(start + at[i])
-                        ends.append(end + at[i])
-                        docs.append(np.full(len(start), ids[i], np.int64))
-                        rows.append(np.full(len(start), keys[i], np.uint64))
-                        places.append(start)
-                if not starts:
+                        found.append((start + at[i], size.astype(np.int64), np.full(len(start), ids[i], np.int64), np.full(len(start), keys[i], np.uint64), start, gram, shard))
+                if not found:
                     continue
-                start, end, doc, row, place = map(np.concatenate, (starts, ends, docs, rows, places))
-                size = end - start
-                inner = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
-                text = data[np.repeat(start, size) + inner]
-                # The stretch's anchor again, from its bytes alone.
-                _, _, _, gram, _ = stretches(text, size.cumsum())
-                shard = ((mix(gram.astype(np.uint64)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                offset = size.cumsum() - size
+                begin, size, doc, row, place, gram, shard = (np.concatenate(x) for x in zip(*found, strict=True))
                 for k in np.unique(shard).tolist():
                     own = np.flatnonzero(shard == k)
-                    yield _blob(k, "text", [size[own].astype(np.uint8), doc[own], row[own], place[own], np.concatenate([text[offset[o] : offset[o] + size[o]] for o in own.tolist()])])
+                    text = data[_spread(begin[own], size[own])]
+                    yield _blob(k, "text", [size[own].astype(np.uint8), doc[own], row[own], place[own], gram[own], text])
 
     return run
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of runs one after another."""
+    return np.repeat(begin - (size.cumsum() - size), size) + np.arange(size.sum())
+
+
 class RunIndex:
     """Suffixes of concatenated stretches, sorted WINDOW bytes deep, as runs of the Burrows-Wheeler transform.
 
@@ -243,34 +250,39 @@ class RunIndex:
         return np.minimum.reduceat(self.earliest, first)[np.searchsorted(self.interval[first], self.rank)]
 
 
-def _indexed(shards: int, index_bytes: int = 8 << 20):
+def _indexed(shards: int):
     """Per shard of anchors: index the open stretches, in parts that keep anchors whole, and yield the repeated windows' spans."""
 
     def run(batches):
         for _, rows in runs(batches, "shard"):
-            size, doc, row, place, text = _gathered(rows, "text", [np.uint8, np.int64, np.uint64, np.int64, np.uint8])
+            size, doc, row, place, gram, text = _gathered(rows, "text", TEXT)
             size = size.astype(np.int64)
             offset = size.cumsum() - size
-            _, _, _, gram, _ = stretches(text, size.cumsum())
             order = np.argsort(gram, kind="stable")
-            part = (size[order].cumsum() - size[order]) // index_bytes
-            begin = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-            part = np.repeat(part[begin], np.diff(np.append(begin, len(order))))
-            for p in np.unique(part).tolist():
-                own = order[part == p]
+            # A part is closed at the first anchor that begins beyond its bytes.
+            begin = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
+            part = ((size[order].cumsum() - size[order]) // INDEX_BYTES)[begin]
+            part = np.repeat(part, np.diff(np.append(begin, len(order))))
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(order)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                own = order[i:j]
                 n = size[own]
-                inner = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-                joined = text[np.repeat(offset[own], n) + inner]
+                joined = text[_spread(offset[own], n)]
                 count = n - WINDOW + 1
                 which = np.repeat(np.arange(len(own)), count)
-                step = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
+                step = _spread(np.zeros(len(own), np.int64), count)
                 windows = np.repeat(n.cumsum() - n, count) + step
                 docs = doc[own][which]
-                hit = RunIndex(joined, windows, docs).earliest_match() < docs
-                if hit.any():
-                    start = place[own][which[hit]] + step[hit]
-                    keys = row[own][which[hit]]
-                    yield from _split([keys, start, start + WINDOW], _row_shard(keys, shards), "span")
+                hit = np.flatnonzero(RunIndex(joined, windows, docs).earliest_match() < docs)
+                if not len(hit):
+                    continue
+                # Windows next to each other in one stretch make one span.
+                first = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]])]))
+                last = np.append(first[1:], len(hit)) - 1
+                a, b = hit[first], hit[last]
+                start = place[own][which[a]] + step[a]
+                keys = row[own][which[a]]
+                yield from _split([keys, start.astype(np.uint32), (step[b] - step[a] + WINDOW).astype(np.uint16)], _row_shard(keys, shards), "span")
 
     return run
 
@@ -288,7 +300,8 @@ def _cut(path: str, there: set, shards: int):
                 spans: list[list[int]] = []
                 if valid[i] and len(own) >= WINDOW:
                     parts = [_of_row(path, k, there, shards, int(keys[i])) for k in ("span", "late-span")]
-                    start, end = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    start = np.concatenate([p[0] for p in parts]).astype(np.int64)
+                    end = start + np.concatenate([p[1] for p in parts])
                     if len(start):
                         order = np.argsort(start, kind="stable")
                         start, reach = start[order], np.maximum.accumulate(end[order])

@@ -54,6 +54,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("seed", "chunk", "shard"), [(1, 1 << 20, 48 << 20), (2, 200, 3000), (3, 1 << 20, 900)])
 def test_removal_equals_brute_force(spark, monkeypatch, seed, chunk, shard):
     monkeypatch.setattr(sd, "SHARD_BYTES", shard)
+    monkeypatch.setattr(sd, "INDEX_BYTES", shard)
     rows = list(enumerate(corpus(seed)))
     random.Random(seed).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS shard")
