@@ -17,7 +17,7 @@ import public_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces longer than LONGEST are not kept, nor any beyond KEEP; both bound memory only.
-LONGEST, KEEP = 40, 800_000
+LONGEST, KEEP = 40, 1_200_000
 #: White space in runs. Without it, and without any at the ends, every blank and line end is a place to cut.
 RUN = re.compile(r"\s\s")
 #: Where a text with such white space may still be cut.

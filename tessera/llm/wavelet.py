@@ -21,6 +21,7 @@ from tessera.llm.shared import fresh_path, small_batches
 from tessera.llm.tokens import DEFAULT_VOCABULARY, worker_encoder
 
 BLOCK = 512  # bits per entry of the directory
+MAX_READERS = 10_000  # tasks that read shards back
 MANIFEST_DDL = "part int, shard int, n_tokens long"
 MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64())])
 
@@ -194,19 +195,18 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def _reader(path: str):
-    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("inner", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for part, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, shard, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, known, lengths, m = open_shard(f"{path}/{part:06d}-{shard:06d}.wm")
                 data, ends = m.decode().tobytes(), lengths.cumsum()
                 for s in range(0, len(ids), 1024):
                     some = slice(s, s + 1024)
                     own = [data[4 * (e - n) : 4 * e] for e, n in zip(ends[some].tolist(), lengths[some].tolist(), strict=True)]
-                    k = len(own)
                     yield pa.record_batch(
-                        [pa.array([part] * k, pa.int32()), pa.array([shard] * k, pa.int32()), pa.array(ids[some], mask=~known[some]), pa.array((ends - lengths)[some]), pa.array(lengths[some]), pa.array(own, pa.binary()), pa.array([zlib.crc32(o) for o in own], pa.int64())],
+                        [pa.array(ids[some], mask=~known[some]), pa.array((base + ends - lengths)[some]), pa.array(lengths[some]), pa.array(own, pa.binary()), pa.array([zlib.crc32(o) for o in own], pa.int64())],
                         schema=schema,
                     )
 
@@ -221,10 +221,10 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     before_part = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_part"))
     own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("_shard")).join(before_part, "part")
-    # One row a shard: spread over the tasks, each opens the files of its rows.
-    docs = sizes.repartition("part", "shard").mapInArrow(_reader(path), "part int, shard int, doc_id long, inner long, n_tokens long, ids binary, ids_crc32 long")
-    found = docs.join(base.select("part", "shard", (F.col("_part") + F.col("_shard")).alias("_base")), ["part", "shard"])
-    return found.select("doc_id", (F.col("_base") + F.col("inner")).alias("start"), "n_tokens", "ids", "ids_crc32")
+    # One row a shard, with the ids before it: spread over tasks, each opens the files of its rows.
+    wanted = base.select("part", "shard", (F.col("_part") + F.col("_shard")).alias("base"))
+    tasks = max(1, min(sizes.count(), MAX_READERS))
+    return wanted.repartition(tasks).mapInArrow(_reader(path), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
