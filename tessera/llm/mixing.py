@@ -83,11 +83,12 @@ def posteriors(df: DataFrame, labelled: DataFrame, text_col: str = "text", sampl
     return [p / total for p in powers], words
 
 
-def fit_rates(rows: DataFrame, targets: list[float], budget: float = 1.0, iterations: int = 25, tolerance: float = 1e-4) -> list[list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], budget: float = 1.0, iterations: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
     """The steps of projected gradient descent over rows of (_n, _p0, _p1, ...), for rate().
 
     The gradient is taken in the metric of the posteriors' Gram matrix (as many rows and columns as there are
-    domains), so few iterations are needed. Steps that do not lower the residual are halved.
+    domains), so few iterations are needed. Where the bound at zero spoils such a step, a plain gradient step of the
+    inverse Lipschitz constant, which always descends, takes its place; the fit ends when neither helps.
     """
     k = len(targets)
     p, n = [F.col(f"_p{i}") for i in range(k)], F.col("_n")
@@ -102,15 +103,19 @@ def fit_rates(rows: DataFrame, targets: list[float], budget: float = 1.0, iterat
     residual = lambda steps: np.array(rows.agg(*[F.sum(n * rate(p, steps) * x) for x in p]).first(), float) / total - goal
     steps: list[list[float]] = []
     error, size = residual(steps), 1.0
+    plain = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
     for _ in range(iterations):
         if np.abs(error).max() <= tolerance:
             break
-        trial = [*steps, (size * inverse @ error).tolist()]
-        found = residual(trial)
-        if np.linalg.norm(found) < np.linalg.norm(error):
-            steps, error, size = trial, found, min(1.0, 2 * size)
-        else:
+        for direction in (size * inverse @ error, plain * error):
+            trial = [*steps, direction.tolist()]
+            found = residual(trial)
+            if np.linalg.norm(found) < np.linalg.norm(error) * (1 - 1e-3):
+                break
             size /= 2
+        else:
+            break
+        steps, error, size = trial, found, min(1.0, 4 * size)
     return steps
 
 
