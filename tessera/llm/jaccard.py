@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.shared import materialize, small_batches
+from tessera.llm.files import load, runs, save
+from tessera.llm.shared import fresh_path, materialize, small_batches
 from tessera.llm.words import mix, shingle_sets
 
 WORDS = 5
-BLOCK = 1024  # documents of one signature group compared at once; larger groups are cut into blocks
+BLOCK = 2048  # documents of one signature group compared at once; larger groups are cut into blocks
 CHUNK = 256  # documents verified against one centre in one task
 SKETCH = "doc_id long, n_shingles long, set_hash binary, keys array<bigint>, sketch binary"
 _SALT = np.uint64(0x9FB21C651E98DF25)
@@ -37,25 +38,100 @@ def segments(band: int) -> int:
     return max(512, int(0.35 * 2 ** (band + 1)))
 
 
-def signatures(found: np.ndarray) -> np.ndarray:
-    """The join keys of a sorted set of hashes: per size band the k + 1 smallest segment signatures."""
+def segment_keys(found: np.ndarray) -> list[np.ndarray]:
+    """Per size band of a sorted set of hashes the signatures of its non-empty segments."""
     n = len(found)
     if not n:
-        return np.zeros(0, np.int64)
+        return []
     own = n.bit_length() - 1
     bands = [own] + ([own + 1] if 5 * n // 4 >= 2 ** (own + 1) else [])
-    k, scattered, out = n // 4, mix(found ^ _SALT), []
+    scattered, out = mix(found ^ _SALT), []
     for band in bands:
         # Sorted hashes fall into segments in order, so a segment is a run.
         segment = ((found >> np.uint64(32)) * np.uint64(segments(band))) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         keys = mix(np.bitwise_xor.reduceat(scattered, starts) + segment[starts] + np.uint64(band << 40))
-        if len(keys) <= k:  # too few segments for the principle: every hash is a key as well
+        if len(keys) <= n // 4:  # too few segments for the principle: every hash is a key as well
             keys = np.concatenate([keys, mix(scattered + np.uint64(band))])
-        elif len(keys) > k + 1:
-            keys = np.partition(keys, k)[: k + 1]
         out.append(keys)
-    return np.concatenate(out).view(np.int64)
+    return out
+
+
+def signatures(found: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    """The join keys of a set: per size band its k + 1 first signatures in a global order.
+
+    The order is that of the signatures' hashes, but those whose upper half is in `common` (sorted) come last: what a
+    passage of many documents gives is joined on only where the rest is too little.
+    """
+    k, out = len(found) // 4, []
+    for keys in segment_keys(found):
+        if len(keys) > k + 1:
+            order = keys >> np.uint64(1)
+            if common is not None and len(common):
+                upper = (keys >> np.uint64(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(common, upper), len(common) - 1)
+                order = order | ((common[at] == upper).astype(np.uint64) << np.uint64(63))
+            keys = keys[np.argpartition(order, k)[: k + 1]]
+        out.append(keys)
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+#: Signatures of more sets than this are common ones.
+COMMON = 16
+KEY_SHARD = 1 << 25  # bytes of text behind one shard of signature counts
+COUNTS_DDL, COUNTS = "shard long, keys binary, n binary", pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def _key_counts(shards: int):
+    """Counts of the upper halves of signatures, combined in the task and dealt by their value."""
+
+    def flush(held: list):
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        shard = (found.astype(np.uint64) * np.uint64(shards)) >> np.uint64(32)
+        cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(found)]])
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            yield pa.RecordBatch.from_pylist([{"shard": int(shard[i]), "keys": found[i:j].tobytes(), "n": np.minimum(n[i:j], 255).astype(np.uint8).tobytes()}], schema=COUNTS)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for found in shingle_sets(batch.column(0), WORDS):
+                for keys in segment_keys(found):
+                    held.append((keys >> np.uint64(32)).astype(np.uint32))
+                    size += len(keys)
+            if size > 4_000_000:
+                yield from flush(held)
+                held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    return run
+
+
+def _common_keys(path: str):
+    """Save each shard's common signatures as a sorted array."""
+
+    def run(batches):
+        for shard, rows in runs(batches, "shard"):
+            keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint32)
+            n = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8)
+            order = np.argsort(keys, kind="stable")
+            found, start = np.unique(keys[order], return_index=True)
+            total = np.add.reduceat(n[order].astype(np.int64), start)
+            save(f"{path}/common-{shard}", [found[total > COMMON]])
+            yield pa.RecordBatch.from_pylist([{"shard": int(shard)}], schema=pa.schema([("shard", pa.int64())]))
+
+    return run
+
+
+def common_signatures(docs: DataFrame, text_col: str) -> tuple[str, list[int]]:
+    """Where the common signatures of all texts are saved, and in which shards. Only their order depends on them."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shards, path = min(1 << 14, max(1, -(-size // KEY_SHARD))), fresh_path(spark, "signatures")
+    counted = docs.select(text_col).mapInArrow(_key_counts(shards), COUNTS_DDL)
+    dealt = counted.repartition(shards, "shard").sortWithinPartitions("shard")
+    return path, sorted(r.shard for r in dealt.mapInArrow(_common_keys(path), "shard long").collect())  # one row a shard
 
 
 def parity_sketch(found: np.ndarray) -> np.ndarray:
@@ -70,47 +146,29 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
-def _sketches(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
-    for batch in batches:
-        for s in range(0, batch.num_rows, 512):
-            some = batch.slice(s, 512)
-            sizes, hashes, keys, sketch = [], [], [], []
-            for found in shingle_sets(some.column(1), WORDS):
-                sizes.append(len(found))
-                if len(found):
-                    hashes.append(np.array([mix(found + _SALT).sum(), np.bitwise_xor.reduce(mix(found)), len(found)], np.uint64).tobytes())
-                    keys.append(signatures(found))
-                    sketch.append(parity_sketch(found).tobytes())
-                else:
-                    hashes.append(None)
-                    keys.append(np.zeros(0, np.int64))
-                    sketch.append(b"")
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(np.concatenate(keys)))
-            yield pa.record_batch([some.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), lists, pa.array(sketch, pa.binary())], schema=schema)
-
-
-def runs(batches, key: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(key, rows) for every run of equal keys in sorted batches; a run may span batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and last != at[a]:
-                yield last, _joined(held)
-                held = []
-            last = at[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield last, _joined(held)
-
-
-def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _sketches(path: str, there: list[int]):
+    def run(batches):
+        # A 32-bit value in COMMON sets or more: the array is bounded by the signatures over COMMON, and at most 16 GB.
+        common = np.concatenate([load(f"{path}/common-{s}")[0] for s in there]) if there else None
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                some = batch.slice(s, 512)
+                sizes, hashes, keys, sketch = [], [], [], []
+                for found in shingle_sets(some.column(1), WORDS):
+                    sizes.append(len(found))
+                    if len(found):
+                        hashes.append(np.array([mix(found + _SALT).sum(), np.bitwise_xor.reduce(mix(found)), len(found)], np.uint64).tobytes())
+                        keys.append(signatures(found, common))
+                        sketch.append(parity_sketch(found).tobytes())
+                    else:
+                        hashes.append(None)
+                        keys.append(np.zeros(0, np.int64))
+                        sketch.append(b"")
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(np.concatenate(keys)))
+                yield pa.record_batch([some.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), lists, pa.array(sketch, pa.binary())], schema=schema)
+
+    return run
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -147,58 +205,67 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(dealt.mapInArrow(_verified, "a long, b long"), "links", small=True)
 
 
-PAIRS_AT_ONCE = 200_000
+PAIRS_AT_ONCE = 4_000_000
+#: A cell compares the pairs of about this many documents of a group; larger groups have several cells.
+CELL = 512
+
+
+def _compared(pairs: np.ndarray, ids: np.ndarray, size: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Those of the pairs (i * number of documents + j) that their sketches let link."""
+    i, j = (pairs // len(ids)).astype(np.int64), (pairs % len(ids)).astype(np.int64)
+    width = np.array([len(x) for x in sketches])
+    least, kept = np.minimum(width[i], width[j]), []
+    for w in np.unique(least).tolist():
+        of_width = np.flatnonzero(least == w)
+        row = np.full(len(ids), -1)
+        used = np.unique(np.concatenate([i[of_width], j[of_width]]))
+        row[used] = np.arange(len(used))
+        table = np.stack([folded(sketches[d], w) for d in used.tolist()])
+        step = max(1, (1 << 23) // w)
+        for s in range(0, len(of_width), step):
+            part = of_width[s : s + step]
+            apart = np.bitwise_count(table[row[i[part]]] ^ table[row[j[part]]]).sum(axis=1, dtype=np.int64)
+            kept.append(part[9 * apart <= size[i[part]] + size[j[part]]])
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
 def _near(batches):
-    """Pairs of sorted (cell, side, doc_id, component, n_shingles, sketch) that lie in different components and may link.
+    """Pairs that lie in different components and may link, from rows (cell, key, side, share, shares, doc_id, component, n_shingles, sketch).
 
-    Pairs of many cells are compared together, each distinct pair once.
+    A cell's rows with a sketch come first, one a document, then those of its groups (key), without. Each distinct
+    pair of a cell is compared once, however many groups it shares; a cell takes its share of the pairs by their hash.
     """
-    left, right, size, held = [], [], {}, 0
-    sketches: dict[int, np.ndarray] = {}
-
-    def flush():
-        a, b = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        widths = np.array([min(len(sketches[x]), len(sketches[y])) for x, y in pairs.tolist()])
-        for width in np.unique(widths).tolist():
-            same = pairs[widths == width]
-            for s in range(0, len(same), max(1, (1 << 23) // width)):
-                part = same[s : s + max(1, (1 << 23) // width)]
-                x, y = (np.stack([folded(sketches[d], width) for d in part[:, k].tolist()]) for k in (0, 1))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                both = np.array([size[p] + size[q] for p, q in part.tolist()])
-                kept = part[9 * apart <= both]
-                if len(kept):
-                    yield pa.record_batch([pa.array(kept[:, 0]), pa.array(kept[:, 1])], schema=PAIR)
-
     for _, rows in runs(batches, "cell"):
-        side, ids, comp, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("side", "doc_id", "component", "n_shingles"))
-        if len(ids) < 2 or comp.min() == comp.max():
-            continue
-        # Blocks meet other blocks from one side only; a block meets itself once.
-        if side[0] == 2:
-            i, j = np.triu_indices(len(ids), 1)
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
-        fits = (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (ids[i] != ids[j])
-        i, j = i[fits], j[fits]
-        if not len(i):
-            continue
-        column = rows.column("sketch")
-        for k in np.unique(np.concatenate([i, j])).tolist():
-            if int(ids[k]) not in sketches:
-                sketches[int(ids[k])] = np.frombuffer(column[k].as_py(), np.uint8)
-                size[int(ids[k])] = int(n[k])
-        left.append(ids[i])
-        right.append(ids[j])
-        held += len(i)
-        if held >= PAIRS_AT_ONCE:
-            yield from flush()
-            left, right, size, sketches, held = [], [], {}, {}, 0
-    if held:
-        yield from flush()
+        key, side, share, shares, doc, comp, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side", "share", "shares", "doc_id", "component", "n_shingles"))
+        first = int((side < 0).sum())
+        ids, at = np.unique(doc[:first], return_index=True)
+        sketches = [np.frombuffer(x, np.uint8) for x in rows.column("sketch").take(pa.array(at)).to_pylist()]
+        size, component = n[at], comp[at]
+        local = np.searchsorted(ids, doc)
+        cuts = [first, *(first + 1 + np.flatnonzero(key[first + 1 :] != key[first:-1])).tolist(), len(key)]
+        held, count, done = [], 0, np.zeros(0, np.uint64)
+        for a, b in [*zip(cuts[:-1], cuts[1:]), (None, None)]:
+            if a is not None and b - a > 1:
+                # Blocks of a large group meet other blocks from one side only; a block meets itself once.
+                if side[a] == 2:
+                    i, j = np.triu_indices(b - a, 1)
+                else:
+                    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1), indexing="ij"))
+                i, j = local[a + i], local[a + j]
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                fits = (component[i] != component[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])) & (i != j)
+                pairs = (i[fits] * len(ids) + j[fits]).astype(np.uint64)
+                if shares[a] > 1:
+                    pairs = pairs[mix(pairs) % np.uint64(shares[a]) == np.uint64(share[a])]
+                held.append(pairs)
+                count += len(pairs)
+            if held and (a is None or count > PAIRS_AT_ONCE):
+                fresh = np.setdiff1d(np.concatenate(held), done)
+                done, held, count = np.union1d(done, fresh), [], 0
+                if len(fresh):
+                    kept = fresh[_compared(fresh, ids, size, sketches)]
+                    if len(kept):
+                        yield pa.record_batch([pa.array(ids[(kept // len(ids)).astype(np.int64)]), pa.array(ids[(kept % len(ids)).astype(np.int64)])], schema=PAIR)
 
 
 STAR_ROUNDS = 3
@@ -235,7 +302,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = materialize(given.mapInArrow(_sketches, SKETCH), "sketches")
+    path, there = common_signatures(given, "text")
+    base = materialize(given.mapInArrow(_sketches(path, there), SKETCH), "sketches")
     named = base.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")
     # Equal sets: one representative each.
     groups = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
@@ -256,16 +324,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         found = components(links)
         named_rows = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         labelled = materialize(still_open(named_rows.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))), "open")
-    # Signature groups that one component does not cover, cut into blocks that meet pairwise.
-    whole = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n")
+    # Signature groups that one component does not cover. Groups of one smallest document share cells, so that a pair
+    # that many groups hold is compared once; groups beyond BLOCK are cut into blocks that meet pairwise.
+    whole = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("lo <> hi").select("key", "n", "least")
     open_rows = labelled.join(whole, "key")
     block = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1) / BLOCK).cast("int")
     last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
-    placed = open_rows.withColumn("_block", F.when(F.col("n") > BLOCK, block).otherwise(F.lit(0))).withColumn("_with", F.explode(F.sequence(F.lit(0), last)))
+    large = open_rows.filter(F.col("n") > BLOCK).withColumn("_block", block).withColumn("_with", F.explode(F.sequence(F.lit(0), last)))
     side = F.when(F.col("_block") == F.col("_with"), 2).when(F.col("_block") < F.col("_with"), 0).otherwise(1)
-    cells = placed.select(F.xxhash64("key", F.least("_block", "_with"), F.greatest("_block", "_with")).alias("cell"), side.alias("side"), "doc_id", "component", "n_shingles")
-    cells = cells.join(keyed.select("doc_id", "sketch"), "doc_id").repartition("cell").sortWithinPartitions("cell", "doc_id")
-    candidates = materialize(cells.mapInArrow(_near, "a long, b long").distinct(), "candidates", small=True)
+    columns = ["key", "side", "share", "shares", "doc_id", "component", "n_shingles"]
+    large = large.withColumns({"side": side, "share": F.lit(0), "shares": F.lit(1)}).select(F.xxhash64("key", F.least("_block", "_with"), F.greatest("_block", "_with")).alias("cell"), *columns)
+    shares = F.ceil(F.col("n") / CELL).cast("int")
+    few = open_rows.filter(F.col("n") <= BLOCK).withColumns({"side": F.lit(2), "shares": shares}).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    cells = large.unionAll(few.select(F.xxhash64("least", "share", "shares").alias("cell"), *columns))
+    members = cells.select("cell", "doc_id", "component", "n_shingles").distinct().join(keyed.select("doc_id", "sketch"), "doc_id")
+    heads = members.select("cell", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("side"), F.lit(0).alias("share"), F.lit(1).alias("shares"), "doc_id", "component", "n_shingles", "sketch")
+    placed = heads.unionAll(cells.withColumn("sketch", F.lit(None).cast("binary"))).repartition("cell").sortWithinPartitions("cell", F.col("side") >= 0, "key", "doc_id")
+    candidates = materialize(placed.mapInArrow(_near, "a long, b long").distinct(), "candidates", small=True)
     if not candidates.isEmpty():
         late = verify(candidates, given)
         found = components(late if links is None else links.unionAll(late))

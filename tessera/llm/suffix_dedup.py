@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.jaccard import runs
-from tessera.llm.ngram_lm import load, save
+from tessera.llm.files import load, runs, save
 from tessera.llm.shared import fresh_path, small_batches
 from tessera.llm.words import _powers, mix, texts_of
 

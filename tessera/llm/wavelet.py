@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.ngram_lm import read_file, save
+from tessera.llm.files import read_file, save
 from tessera.llm.shared import fresh_path, small_batches
 from tessera.llm.tokens import DEFAULT_VOCABULARY, worker_encoder
 

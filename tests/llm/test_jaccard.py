@@ -75,6 +75,8 @@ def test_blocks_and_chunks_change_nothing(spark, monkeypatch):
     rows = list(enumerate(corpus(3, 150)))
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "CHUNK", 2)
+    monkeypatch.setattr(jaccard, "COMMON", 1)
+    monkeypatch.setattr(jaccard, "KEY_SHARD", 500)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
@@ -101,6 +103,9 @@ def test_linked_sets_share_a_signature():
             b = np.concatenate([a[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)])
             a, b = np.unique(a), np.unique(b)
             assert set(jaccard.signatures(a)) & set(jaccard.signatures(b))
+            some = np.concatenate([*jaccard.segment_keys(a), *jaccard.segment_keys(b)])
+            common = np.unique((rng.choice(some, len(some) // 2) >> np.uint64(32)).astype(np.uint32))
+            assert set(jaccard.signatures(a, common)) & set(jaccard.signatures(b, common))
             x, y = jaccard.parity_sketch(a), jaccard.parity_sketch(b)
             size = min(len(x), len(y))
             apart = int(np.bitwise_count(jaccard.folded(x, size) ^ jaccard.folded(y, size)).sum())

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import ngram_lm
+from tessera.llm import files, ngram_lm
 from tessera.llm.shared import fresh_path
 
 GAP = re.compile("[ \t-\r]+")
@@ -96,5 +96,5 @@ def test_nothing_to_learn_from(spark):
 def test_files_come_back(spark):
     path = f"{fresh_path(spark, 'arrays')}/x"
     arrays = [np.arange(5, dtype=np.uint64), np.arange(3, dtype=np.uint8), np.zeros(0, np.int64), np.arange(7, dtype=np.uint32)]
-    ngram_lm.save(path, arrays)
-    assert [a.tolist() for a in ngram_lm.load(path)] == [a.tolist() for a in arrays]
+    files.save(path, arrays)
+    assert [a.tolist() for a in files.load(path)] == [a.tolist() for a in arrays]
