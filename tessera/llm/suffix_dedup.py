@@ -26,13 +26,13 @@ from tessera.llm.words import _powers, mix, texts_of
 
 WINDOW, ANCHOR = 50, 16
 #: Windows handled at once (longer texts are cut between windows), and text bytes behind one shard.
-CHUNK, SHARD_BYTES, MAX_SHARDS, SLICES = 1 << 18, 32 << 20, 1 << 14, 4
+CHUNK, SHARD_BYTES, MAX_SHARDS, SLICES = 1 << 18, 20 << 20, 1 << 14, 4
 INDEX_BYTES = 2 << 20  # text behind one run-length index
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 BLOB_DDL = "shard long, kind string, body array<binary>"
 BLOB = pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("body", pa.list_(pa.binary()))])
-STRETCH = [np.uint32, np.uint64, np.uint8, np.uint8, np.int64, np.uint64, np.int64]  # anchor, content, before, after, doc_id, row, position
-SPAN = [np.uint64, np.uint32, np.uint16]  # row, start, size
+STRETCH = [np.uint32, np.uint64, np.uint8, np.uint8, np.int64, np.uint16, np.uint32]  # anchor, content, before, after, doc_id, text check, position
+SPAN = [np.int64, np.uint32, np.uint16, np.uint16]  # doc_id, start, size, text check
 OPEN = [*SPAN, np.uint32, np.uint16]  # and the anchor and its shard
 KINDS = {"span": SPAN, "open": OPEN}
 
@@ -115,21 +115,21 @@ def _pieces(batch: pa.RecordBatch):
 def _anchored(shards: int):
     def run(batches):
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy().view(np.uint64)
+            ids, checks = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy().astype(np.uint16)
             for data, ends, rows, base in _pieces(batch):
                 first, last, anchor, gram, content = stretches(data, ends)
                 own = np.searchsorted(ends, first, side="right")
                 begins = np.concatenate([[0], ends[:-1]])
                 # One half deals to shards, the other tells anchors apart within a shard.
                 shard = ((mix(gram >> np.uint64(32)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                arrays = [gram.astype(np.uint32), content, (anchor - first).astype(np.uint8), (last - anchor + WINDOW).astype(np.uint8), ids[rows[own]].astype(np.int64), keys[rows[own]], anchor - begins[own] + base[own]]
+                arrays = [gram.astype(np.uint32), content, (anchor - first).astype(np.uint8), (last - anchor + WINDOW).astype(np.uint8), ids[rows[own]].astype(np.int64), checks[rows[own]], (anchor - begins[own] + base[own]).astype(np.uint32)]
                 yield from _split(arrays, shard, "stretch")
 
     return run
 
 
-def _row_shard(row: np.ndarray, shards: int) -> np.ndarray:
-    return ((row >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+def _row_shard(doc: np.ndarray, shards: int) -> np.ndarray:
+    return ((mix(doc.astype(np.int64).view(np.uint64)) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
 def _settled(shards: int):
@@ -142,28 +142,28 @@ def _settled(shards: int):
                 if not len(found[0]):
                     continue
                 order = np.lexsort((found[4], found[1], found[0]))
-                gram, content, before, after, doc, row, at = (x[order] for x in found)
+                gram, content, before, after, doc, check, at = (x[order] for x in found)
                 of_gram = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
                 of_class = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])]))
                 class_size, gram_size = np.diff(np.append(of_class, len(gram))), np.diff(np.append(of_gram, len(gram)))
                 earliest = np.repeat(doc[of_class], class_size)
                 repeat = doc > earliest
-                start, size = (at - before).astype(np.uint32), before.astype(np.uint16) + after
+                start, size = at - before, before.astype(np.uint16) + after
                 if repeat.any():
-                    yield from _split([row[repeat], start[repeat], size[repeat]], _row_shard(row[repeat], shards), "span")
+                    yield from _split([doc[repeat], start[repeat], size[repeat], check[repeat]], _row_shard(doc[repeat], shards), "span")
                 # Anchors with several contents in several documents: the earliest stretches of each content stay open.
                 classes = np.repeat(np.add.reduceat(np.bincount(of_class, minlength=len(gram)), of_gram), gram_size)
                 several = np.repeat(np.minimum.reduceat(doc, of_gram) != np.maximum.reduceat(doc, of_gram), gram_size)
                 still = (classes > 1) & several & ~repeat
                 if still.any():
                     own = np.full(int(still.sum()), number, np.uint16)
-                    yield from _split([row[still], start[still], size[still], gram[still], own], _row_shard(row[still], shards), "open")
+                    yield from _split([doc[still], start[still], size[still], check[still], gram[still], own], _row_shard(doc[still], shards), "open")
 
     return run
 
 
 def _stored(path: str, prefix: str = ""):
-    """Per shard of rows: the spans of each kind in one file, sorted by row."""
+    """Per shard of documents: the spans of each kind in one file, sorted by document."""
     schema = pa.schema([("kind", pa.string()), ("shard", pa.int64())])
 
     def run(batches):
@@ -177,17 +177,18 @@ def _stored(path: str, prefix: str = ""):
     return run
 
 
-def _of_row(path: str, kind: str, there: set, shards: int, row: int) -> list[np.ndarray]:
-    """What a file holds for a row, but for the row itself."""
-    shard = ((row >> 32) * shards) >> 32
+def _of_row(path: str, kind: str, there: set, shards: int, doc: int, check: int) -> list[np.ndarray]:
+    """What a file holds for a row: start, size and so on. Rows that share an id differ by their text's check."""
+    shard = int(_row_shard(np.array([doc]), shards)[0])
     if (kind, shard) not in there:
-        return [np.zeros(0, t) for t in KINDS[kind.removeprefix("late-")][1:]]
-    keys, *rest = load(f"{path}/{kind}-{shard}")
-    i, j = np.searchsorted(keys, np.uint64(row)), np.searchsorted(keys, np.uint64(row), side="right")
-    return [x[i:j] for x in rest]
+        return [np.zeros(0, t) for i, t in enumerate(KINDS[kind.removeprefix("late-")]) if i not in (0, 3)]
+    docs, *rest = load(f"{path}/{kind}-{shard}")
+    i, j = np.searchsorted(docs, doc), np.searchsorted(docs, doc, side="right")
+    own = rest[2][i:j] == check
+    return [x[i:j][own] for k, x in enumerate(rest) if k != 2]
 
 
-TEXT = [np.uint8, np.int64, np.uint64, np.uint32, np.uint32, np.uint8]  # size, doc_id, row, position, anchor; the bytes
+TEXT = [np.uint8, np.int64, np.uint16, np.uint32, np.uint32, np.uint8]  # size, doc_id, text check, position, anchor; the bytes
 
 
 def _requested(path: str, there: set, shards: int):
@@ -196,20 +197,20 @@ def _requested(path: str, there: set, shards: int):
     def run(batches):
         for batch in batches:
             data, at = texts_of(batch.column("text"))
-            keys, ids = batch.column("row").to_numpy().view(np.uint64), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            checks, ids = batch.column("row").to_numpy().astype(np.uint16), batch.column("doc_id").to_numpy(zero_copy_only=False)
             for s in range(0, batch.num_rows, 64):
                 found = []
                 for i in range(s, min(batch.num_rows, s + 64)):
-                    start, size, gram, shard = _of_row(path, "open", there, shards, int(keys[i]))
+                    start, size, gram, shard = _of_row(path, "open", there, shards, int(ids[i]), checks[i])
                     if len(start):
-                        found.append((start + at[i], size.astype(np.int64), np.full(len(start), ids[i], np.int64), np.full(len(start), keys[i], np.uint64), start, gram, shard))
+                        found.append((start.astype(np.int64) + at[i], size.astype(np.int64), np.full(len(start), ids[i], np.int64), np.full(len(start), checks[i]), start, gram, shard))
                 if not found:
                     continue
-                begin, size, doc, row, place, gram, shard = (np.concatenate(x) for x in zip(*found, strict=True))
+                begin, size, doc, check, place, gram, shard = (np.concatenate(x) for x in zip(*found, strict=True))
                 for k in np.unique(shard).tolist():
                     own = np.flatnonzero(shard == k)
                     text = data[_spread(begin[own], size[own])]
-                    yield _blob(k, "text", [size[own].astype(np.uint8), doc[own], row[own], place[own], gram[own], text])
+                    yield _blob(k, "text", [size[own].astype(np.uint8), doc[own], check[own], place[own], gram[own], text])
 
     return run
 
@@ -254,7 +255,7 @@ def _indexed(shards: int):
 
     def run(batches):
         for _, rows in runs(batches, "shard"):
-            size, doc, row, place, gram, text = _gathered(rows, "text", TEXT)
+            size, doc, check, place, gram, text = _gathered(rows, "text", TEXT)
             size = size.astype(np.int64)
             offset = size.cumsum() - size
             order = np.argsort(gram, kind="stable")
@@ -280,8 +281,8 @@ def _indexed(shards: int):
                 last = np.append(first[1:], len(hit)) - 1
                 a, b = hit[first], hit[last]
                 start = place[own][which[a]] + step[a]
-                keys = row[own][which[a]]
-                yield from _split([keys, start.astype(np.uint32), (step[b] - step[a] + WINDOW).astype(np.uint16)], _row_shard(keys, shards), "span")
+                keys = doc[own][which[a]]
+                yield from _split([keys, start.astype(np.uint32), (step[b] - step[a] + WINDOW).astype(np.uint16), check[own][which[a]]], _row_shard(keys, shards), "span")
 
     return run
 
@@ -292,13 +293,14 @@ def _cut(path: str, there: set, shards: int):
     def run(batches):
         for batch in batches:
             data, at = texts_of(batch.column("text"))
-            keys, valid = batch.column("row").to_numpy().view(np.uint64), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            ids, valid = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            checks = batch.column("row").to_numpy().astype(np.uint16)
             out = []
             for i in range(batch.num_rows):
                 own = data[at[i] : at[i + 1]]
                 spans: list[list[int]] = []
                 if valid[i] and len(own) >= WINDOW:
-                    parts = [_of_row(path, k, there, shards, int(keys[i])) for k in ("span", "late-span")]
+                    parts = [_of_row(path, k, there, shards, int(ids[i]), checks[i]) for k in ("span", "late-span")]
                     start = np.concatenate([p[0] for p in parts]).astype(np.int64)
                     end = start + np.concatenate([p[1] for p in parts])
                     if len(start):
@@ -325,13 +327,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, spans (start, end), kept (the remaining bytes) and kept_sha256 of every row.
 
     A byte goes if a string of 50 bytes over it also starts in a row with a smaller id. Null texts are empty. A row
-    without an id neither loses bytes nor counts as a source. Rows that share an id are no source for each other. Other columns
-    are ignored; an empty table gives no rows.
+    without an id neither loses bytes nor counts as a source. Rows that share an id are no source for each other and are
+    told apart by 16 bits of their text's hash. Contents count as equal by 64-bit hashes. Other columns are ignored;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    given = given.withColumn("row", F.xxhash64("doc_id", "text"))
+    given = given.withColumn("row", F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"))
     named = given.filter("doc_id IS NOT NULL AND octet_length(text) >= 50")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = min(MAX_SHARDS, max(1, -(-size // SHARD_BYTES)))
