@@ -63,7 +63,7 @@ def op8_host_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def op9_wavelet_shards(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of all documents from the wavelet files just written."""
-    return wavelet.encode_and_read(_table(spark, d, "documents"), end_id=0).drop("ids")
+    return wavelet.encode_and_read(_table(spark, d, "documents"), with_ids=False, end_id=0).drop("ids")
 
 
 def op10_hypergeometric_shards(spark: SparkSession, d: str) -> DataFrame:

@@ -132,7 +132,7 @@ class WaveletMatrix:
 def packed(a: np.ndarray) -> np.ndarray:
     """An array compressed: its type and its size before, then the bytes."""
     head = a.dtype.str.encode().ljust(8) + np.int64(a.nbytes).tobytes()
-    return np.frombuffer(head + zstandard.ZstdCompressor(level=3).compress(a.tobytes()), np.uint8)
+    return np.frombuffer(head + zstandard.ZstdCompressor(level=1).compress(a.tobytes()), np.uint8)
 
 
 def unpacked(a: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shards.write.parquet(f"{path}/manifest")
 
 
-def _reader(path: str):
+def _reader(path: str, with_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
 
     def run(batches):
@@ -206,15 +206,15 @@ def _reader(path: str):
                     some = slice(s, s + 1024)
                     own = [data[4 * (e - n) : 4 * e] for e, n in zip(ends[some].tolist(), lengths[some].tolist(), strict=True)]
                     yield pa.record_batch(
-                        [pa.array(ids[some], mask=~known[some]), pa.array((base + ends - lengths)[some]), pa.array(lengths[some]), pa.array(own, pa.binary()), pa.array([zlib.crc32(o) for o in own], pa.int64())],
+                        [pa.array(ids[some], mask=~known[some]), pa.array((base + ends - lengths)[some]), pa.array(lengths[some]), pa.array(own if with_ids else [None] * len(own), pa.binary()), pa.array([zlib.crc32(o) for o in own], pa.int64())],
                         schema=schema,
                     )
 
     return run
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Every document from the files: doc_id, start (ids of all documents before it), n_tokens, ids, ids_crc32."""
+def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Every document from the files: doc_id, start (ids of all documents before it), n_tokens, ids (null unless with_ids), ids_crc32."""
     sizes = spark.read.schema(MANIFEST_DDL).parquet(f"{path}/manifest")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row per written partition goes to this unpartitioned window.
@@ -224,12 +224,12 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     # One row a shard, with the ids before it: spread over tasks, each opens the files of its rows.
     wanted = base.select("part", "shard", (F.col("_part") + F.col("_shard")).alias("base"))
     tasks = max(1, min(sizes.count(), MAX_READERS))
-    return wanted.repartition(tasks).mapInArrow(_reader(path), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return wanted.repartition(tasks).mapInArrow(_reader(path, with_ids), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
-def encode_and_read(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+def encode_and_read(docs: DataFrame, path: str | None = None, with_ids: bool = True, **options) -> DataFrame:
     """write_shards() to path (by default a new one in the shared folder), then read_shards()."""
     spark = docs.sparkSession
     path = path or fresh_path(spark, "wavelet")
     write_shards(docs, path, **options)
-    return read_shards(spark, path)
+    return read_shards(spark, path, with_ids)
