@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
 from tessera.llm.files import load, runs, save
-from tessera.llm.shared import fresh_path, materialize, small_batches
+from tessera.llm.shared import fresh_path, materialize, release, small_batches
 from tessera.llm.words import mix, shingle_sets
 
 WORDS = 5
@@ -269,6 +269,40 @@ def _near(batches):
 
 
 STAR_ROUNDS = 3
+#: Files that hold the ids of copies.
+COPY_SHARDS = 64
+
+
+def _saved_ids(path: str):
+    """Save each shard's document ids as a sorted array."""
+
+    def run(batches):
+        for shard, rows in runs(batches, "shard"):
+            save(f"{path}/copies-{shard}", [np.unique(rows.column("doc_id").to_numpy())])
+            yield pa.RecordBatch.from_pylist([{"shard": int(shard)}], schema=pa.schema([("shard", pa.int64())]))
+
+    return run
+
+
+def _exploded(path: str, there: list[int]):
+    """(doc_id, n_shingles, key) for every signature of the documents that are no copies."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            ids, shard = batch.column("doc_id").to_numpy(), batch.column("shard").to_numpy()
+            keep = np.ones(len(ids), bool)
+            for k in set(np.unique(shard).tolist()) & set(there):
+                own = np.flatnonzero(shard == k)
+                (copies,) = load(f"{path}/copies-{k}")
+                keep[own] = copies[np.minimum(np.searchsorted(copies, ids[own]), len(copies) - 1)] != ids[own]
+            some = batch.filter(pa.array(keep))
+            if some.num_rows:
+                lists = some.column("keys")
+                n = np.diff(lists.offsets.to_numpy())
+                yield pa.record_batch([pa.array(np.repeat(some.column("doc_id").to_numpy(), n)), pa.array(np.repeat(some.column("n_shingles").to_numpy(), n)), lists.flatten()], schema=schema)
+
+    return run
 
 
 def still_open(rows: DataFrame) -> DataFrame:
@@ -302,17 +336,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
     path, there = common_signatures(given, "text")
+    release(spark)
     base = materialize(given.mapInArrow(_sketches(path, there), SKETCH), "sketches")
     named = base.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    # Equal sets: one representative each.
+    # Equal sets: one representative each. The other documents' ids go to files, so that wide rows need no join.
     groups = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
-    reps = groups.select(F.col("rep").alias("doc_id")).distinct()
-    keyed = named.join(reps, "doc_id", "left_semi")
-    exploded = keyed.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    copies = named.select("doc_id", "set_hash").join(groups, "set_hash").filter("doc_id <> rep").select("doc_id")
+    copies = copies.join(groups, F.col("doc_id") == F.col("rep"), "left_anti").select(F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SHARDS)).alias("shard"), "doc_id")
+    there = sorted(r.shard for r in copies.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(_saved_ids(path), "shard long").collect())
+    release(spark)
+    wanted = named.select("doc_id", "n_shingles", "keys", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SHARDS)).alias("shard"))
+    exploded = wanted.mapInArrow(_exploded(path, there), "doc_id long, n_shingles long, key long")
     order = Window.partitionBy("key").orderBy("doc_id")
     near = exploded.withColumn("_other", F.coalesce(F.lag("doc_id").over(order), F.lead("doc_id").over(order)))
     shared = materialize(near.filter("_other IS NOT NULL").select("key", "doc_id", "n_shingles"), "shared")
+    del near, exploded
+    release(spark)
 
     links, found = None, docs.sparkSession.createDataFrame([], "node long, component long")
     labelled = shared.withColumn("component", F.col("doc_id"))
@@ -321,6 +362,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if new.isEmpty():
             break
         links = new if links is None else links.unionAll(new)
+        release(spark)
         found = components(links)
         named_rows = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         labelled = materialize(still_open(named_rows.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))), "open")
@@ -337,7 +379,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shares = F.ceil(F.col("n") / CELL).cast("int")
     few = open_rows.filter(F.col("n") <= BLOCK).withColumns({"side": F.lit(2), "shares": shares}).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     cells = large.unionAll(few.select(F.xxhash64("least", "share", "shares").alias("cell"), *columns))
-    members = cells.select("cell", "doc_id", "component", "n_shingles").distinct().join(keyed.select("doc_id", "sketch"), "doc_id")
+    members = cells.select("cell", "doc_id", "component", "n_shingles").distinct().join(named.select("doc_id", "sketch"), "doc_id")
     heads = members.select("cell", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("side"), F.lit(0).alias("share"), F.lit(1).alias("shares"), "doc_id", "component", "n_shingles", "sketch")
     placed = heads.unionAll(cells.withColumn("sketch", F.lit(None).cast("binary"))).repartition("cell").sortWithinPartitions("cell", F.col("side") >= 0, "key", "doc_id")
     candidates = materialize(placed.mapInArrow(_near, "a long, b long").distinct(), "candidates", small=True)
@@ -345,6 +387,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         late = verify(candidates, given)
         found = components(late if links is None else links.unionAll(late))
 
+    del labelled
+    release(spark)
     of_set = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("set_hash").alias("_set"), F.coalesce("component", "rep").alias("_component"))
     out = base.select("doc_id", "n_shingles", "set_hash").join(of_set, F.col("set_hash") == F.col("_set"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
