@@ -37,11 +37,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.cuts = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         # Texts that spell a special token go to the library whole: it takes such tokens out before pre-tokenising.
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _pieces(self, text: str) -> list[str]:
-        if not self.cuts or self.special.search(text):
+        if not self.cuts or any(t in text for t in self.special):
             return [text]
         if "\0" in text or text[0].isspace() or text[-1].isspace() or RUN.search(text):
             return CUT.split(text)
