@@ -366,6 +366,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         found = components(links)
         named_rows = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         labelled = materialize(still_open(named_rows.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))), "open")
+    new = None
+    release(spark)
     # Signature groups that one component does not cover. Groups of one smallest document share cells, so that a pair
     # that many groups hold is compared once; groups beyond BLOCK are cut into blocks that meet pairwise.
     whole = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("lo <> hi").select("key", "n", "least")
@@ -384,6 +386,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = heads.unionAll(cells.withColumn("sketch", F.lit(None).cast("binary"))).repartition("cell").sortWithinPartitions("cell", F.col("side") >= 0, "key", "doc_id")
     candidates = materialize(placed.mapInArrow(_near, "a long, b long").distinct(), "candidates", small=True)
     if not candidates.isEmpty():
+        del placed, heads, members, cells
+        release(spark)
         late = verify(candidates, given)
         found = components(late if links is None else links.unionAll(late))
 
