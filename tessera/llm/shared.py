@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,10 @@ def materialize(df: DataFrame, what: str, small: bool = False) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later time."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of Python's references, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
