@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
@@ -146,6 +146,15 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
+def _set_hash(found: np.ndarray) -> bytes | None:
+    return np.array([mix(found + _SALT).sum(), np.bitwise_xor.reduce(mix(found)), len(found)], np.uint64).tobytes() if len(found) else None
+
+
+def set_hash(text: Column) -> Column:
+    """The hash of a text's shingle set, as in the sketches; null for a text without shingles."""
+    return F.arrow_udf(lambda texts: pa.array([_set_hash(x) for x in shingle_sets(texts, WORDS)], pa.binary()), "binary")(text)
+
+
 def _sketches(path: str, there: list[int]):
     def run(batches):
         # A 32-bit value in COMMON sets or more: the array is bounded by the signatures over COMMON, and at most 16 GB.
@@ -157,12 +166,11 @@ def _sketches(path: str, there: list[int]):
                 sizes, hashes, keys, sketch = [], [], [], []
                 for found in shingle_sets(some.column(1), WORDS):
                     sizes.append(len(found))
+                    hashes.append(_set_hash(found))
                     if len(found):
-                        hashes.append(np.array([mix(found + _SALT).sum(), np.bitwise_xor.reduce(mix(found)), len(found)], np.uint64).tobytes())
                         keys.append(signatures(found, common))
                         sketch.append(parity_sketch(found).tobytes())
                     else:
-                        hashes.append(None)
                         keys.append(np.zeros(0, np.int64))
                         sketch.append(b"")
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(np.concatenate(keys)))
@@ -332,14 +340,66 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     component_id is the smallest id reachable by links, the document's own id included. A null or empty text, or one
     without words, has no shingles and links with nothing. A null id takes no part and has a null component. Rows that
-    share an id are one document to the links: any of their texts may link it. Empty tables give no rows.
+    share an id link each by its own text. Empty tables give no rows.
+    """
+    return _graded(docs, id_col, text_col)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near copies: of each class the row with the smallest id, and all rows without an id.
+
+    Of rows that share an id, only those go whose shingle set is a copy or links. Of rows that share both id and
+    set, the one with the smallest text stays.
     """
+    graded, clashing = _graded(docs, id_col, text_col)
+    kept = graded.filter("is_first AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("set_hash").alias("_kept")).distinct()
+    whole = docs.select(F.col(id_col).cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    least = F.min_by("_row", F.struct(F.col("_text").isNull(), F.coalesce("_text", F.lit("")))).alias("_row")
+    if clashing is None:
+        rows = whole.join(kept.select("_id"), "_id", "left_semi").groupBy("_id").agg(least).select("_row.*")
+    else:
+        ids = clashing.select(F.col("doc_id").alias("_id")).distinct()
+        alone = whole.join(kept.join(ids, "_id", "left_anti"), "_id", "left_semi").groupBy("_id").agg(least)
+        several = whole.join(ids, "_id", "left_semi").withColumn("_set", set_hash(F.col("_text")))
+        several = several.join(kept.withColumnRenamed("_id", "_same"), (F.col("_id") == F.col("_same")) & F.col("_set").eqNullSafe(F.col("_kept")), "left_semi").groupBy("_id", "_set").agg(least)
+        rows = alone.select("_row.*").unionAll(several.select("_row.*"))
+    return rows.unionAll(docs.filter(F.col(id_col).isNull()))
+
+
+def _clashing(base: DataFrame) -> DataFrame | None:
+    """doc_id, set_hash, node for ids of several sets, node being a number that is no id; None if there are none."""
+    spark = base.sparkSession
+    each = F.coalesce("set_hash", F.lit(b""))
+    ids = base.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(each).alias("lo"), F.max(each).alias("hi")).filter("lo <> hi").select("doc_id")
+    ids = materialize(ids, "clashing", small=True)
+    if ids.isEmpty():
+        return None
+    pairs = materialize(base.join(ids, "doc_id", "left_semi").select("doc_id", "set_hash").distinct(), "clashing", small=True)
+    lo, hi = base.agg(F.min("doc_id"), F.max("doc_id")).first()
+    n = pairs.count()
+    start = hi + 1 if hi + n < 2**63 else lo - n
+    if start < -(2**63):
+        raise ValueError("no numbers are left beside the ids")
+    numbered = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], start + x[1]))
+    return materialize(spark.createDataFrame(numbered, "doc_id long, set_hash binary, node long"), "clashing")
+
+
+def _graded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, n_shingles, set_hash, component_id and is_first (no smaller row links) for every row; and _clashing."""
     small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     path, there = common_signatures(given, "text")
     release(spark)
     base = materialize(given.mapInArrow(_sketches(path, there), SKETCH), "sketches")
+    clashing = _clashing(base)
+    if clashing is not None:
+        # From here on doc_id is a node: the id, or for ids of several sets a number of each set.
+        node = clashing.select(F.col("doc_id").alias("id"), F.col("set_hash").alias("_set"), "node")
+        same = (F.col("doc_id") == F.col("id")) & F.col("set_hash").eqNullSafe(F.col("_set"))
+        base = materialize(base.join(node, same, "left").select(F.coalesce("node", "doc_id").alias("doc_id"), "n_shingles", "set_hash", "keys", "sketch", F.col("doc_id").alias("id")), "nodes")
+        texts = given.join(clashing.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("set_hash", set_hash(F.col("text")))
+        given = given.unionAll(materialize(texts.join(node, same).select(F.col("node").alias("doc_id"), "text"), "texts"))
     named = base.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")
     # Equal sets: one representative each. The other documents' ids go to files, so that wide rows need no join.
     groups = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
@@ -394,5 +454,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     del labelled
     release(spark)
     of_set = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("set_hash").alias("_set"), F.coalesce("component", "rep").alias("_component"))
-    out = base.select("doc_id", "n_shingles", "set_hash").join(of_set, F.col("set_hash") == F.col("_set"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
+    if clashing is None:
+        base = base.withColumn("id", F.col("doc_id"))
+    out = base.select("id", "doc_id", "n_shingles", "set_hash").join(of_set, F.col("set_hash") == F.col("_set"), "left")
+    out = out.select("id", "doc_id", "n_shingles", "set_hash", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("_component"))
+    if clashing is None:
+        return out.select("doc_id", "n_shingles", "set_hash", F.col("_component").alias("component_id"), (F.col("doc_id") == F.col("_component")).alias("is_first")), None
+    heads = out.groupBy("_component").agg(F.min(F.struct("id", "doc_id")).alias("_head")).withColumnRenamed("_component", "_of")
+    out = out.join(heads, F.col("_component") == F.col("_of"), "left")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "set_hash", F.col("_head.id").alias("component_id"), (F.col("doc_id") == F.col("_head.doc_id")).alias("is_first")), clashing
