@@ -195,7 +195,7 @@ _U7 = "SELECT CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment FRO
 register("u7_union_by_name", _u7(False), _U7.format(""))
 register("u7_union_all_by_name", _u7(True), _U7.format("ALL"))
 register("u9_widening", lambda spark, d: setops.union(run(spark, d, "SELECT n_nationkey AS k FROM {nation}"), run(spark, d, "SELECT s_suppkey FROM {supplier}"), all=True), "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION ALL SELECT s_suppkey FROM supplier")
-register("u10_order_by_output", lambda spark, d: setops.except_(run(spark, d, "SELECT p_size AS k FROM {part}"), run(spark, d, "SELECT n_nationkey FROM {nation}")).orderBy(F.col("k").desc_nulls_first()).limit(5), "SELECT DISTINCT p_size AS k FROM part WHERE p_size NOT IN (SELECT n_nationkey FROM nation) ORDER BY k DESC LIMIT 5")
+register("u10_order_by_output", lambda spark, d: setops.except_(run(spark, d, "SELECT p_size AS k FROM {part}"), run(spark, d, "SELECT n_nationkey FROM {nation}")).orderBy(F.col("k").desc_nulls_first()), "SELECT DISTINCT p_size AS k FROM part WHERE p_size NOT IN (SELECT n_nationkey FROM nation) ORDER BY k DESC")
 
 
 # Versions: the events as a log of puts and deletes, keyed by user
@@ -204,10 +204,16 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LOG = "(SELECT user_id AS key, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'delete' ELSE 'put' END AS op, value FROM events)"
+def _at(log: DataFrame, tenths: int):
+    """An as-of point so many tenths into the log, whatever its size."""
+    return log.agg(F.expr(f"max(seq) * {tenths} div 10")).scalar()
+
+
+_AT = f"(SELECT max(seq) * {{}} // 10 FROM {_LOG})"
 _NEWEST = f"SELECT key, seq, op, value FROM {_LOG} WHERE seq <= {{}} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"
-register("k1_read_as_of", lambda spark, d: versions.as_of(_log(spark, d), 700), f"SELECT * FROM ({_NEWEST.format(700)}) WHERE op <> 'delete'")
-register("k2_range_scan", lambda spark, d: versions.range_scan(_log(spark, d), 900, 10, 60), f"SELECT * FROM ({_NEWEST.format(900)}) WHERE op <> 'delete' AND key >= 10 AND key < 60")
-register("s12_range_with_limit", lambda spark, d: versions.range_scan(_log(spark, d), 900, 5, None, limit=20), f"SELECT *, count(*) OVER () > 20 AS truncated FROM ({_NEWEST.format(900)}) WHERE op <> 'delete' AND key >= 5 ORDER BY key LIMIT 20")
+register("k1_read_as_of", lambda spark, d: versions.as_of(_log(spark, d), _at(_log(spark, d), 7)), f"SELECT * FROM ({_NEWEST.format(_AT.format(7))}) WHERE op <> 'delete'")
+register("k2_range_scan", lambda spark, d: versions.range_scan(_log(spark, d), _at(_log(spark, d), 9), 10, 60), f"SELECT * FROM ({_NEWEST.format(_AT.format(9))}) WHERE op <> 'delete' AND key >= 10 AND key < 60")
+register("s12_range_with_limit", lambda spark, d: versions.range_scan(_log(spark, d), _at(_log(spark, d), 9), 5, None, limit=20), f"SELECT *, count(*) OVER () > 20 AS truncated FROM ({_NEWEST.format(_AT.format(9))}) WHERE op <> 'delete' AND key >= 5 ORDER BY key LIMIT 20")
 register("k3_compaction", lambda spark, d: versions.compact(_log(spark, d), [300, 600]), f"""
 SELECT key, seq, op, value FROM (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS f FROM (

@@ -114,7 +114,7 @@ both("c6_recursive_with_join", "WITH RECURSIVE t(k, depth) AS (SELECT n_nationke
 
 # Sort, limit, distinct, set operations
 both("o1_sort_limit_nulls", "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id ASC NULLS LAST LIMIT 50")
-both("o2_order_by_alias_position", "SELECT o_custkey AS k, o_totalprice AS p FROM {orders} ORDER BY p DESC NULLS FIRST, 1 ASC NULLS LAST LIMIT 20")
+both("o2_order_by_alias_position", "SELECT o_custkey AS k, o_totalprice AS p FROM {orders} ORDER BY p DESC NULLS FIRST, 1 ASC NULLS LAST")
 both("o3_limit_offset", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey NULLS LAST LIMIT 25 OFFSET 100")
 both("o5_distinct", "SELECT DISTINCT lang, source FROM {documents}")
 both("u1_union_all", "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}")
