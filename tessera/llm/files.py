@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,25 +47,37 @@ def save(path: str, arrays: list[np.ndarray]) -> None:
     with where.open_output_stream(own) as out:
         for part in body:
             out.write(part)
-    where.move(own, name)
+    try:
+        where.move(own, name)
+    except OSError:  # a store whose rename refuses an existing target: another attempt of the task was first, with the same bytes
+        if where.get_file_info(name).type == pafs.FileType.NotFound:
+            raise
+        where.delete_file(own)
+
+
+#: Bytes of files of a remote store that a worker keeps.
+NEAR = 256 << 20
+_near: dict[str, list[np.ndarray]] = {}
 
 
-@lru_cache(4096)
 def load(path: str) -> list[np.ndarray]:
-    """The arrays of a saved file as memory maps."""
+    """The arrays of a saved file: memory maps, or from a remote store in memory, of which the last NEAR bytes are kept."""
     import pyarrow.fs as pafs
 
     where, name = pafs.FileSystem.from_uri(path)
     if where.type_name == "local":
-        data = np.memmap(name, np.uint8, "r")
-    else:
-        with tempfile.NamedTemporaryFile() as near:
-            with where.open_input_stream(name) as far:
-                while part := far.read(1 << 24):
-                    near.write(part)
-            near.flush()
-            data = np.memmap(near.name, np.uint8, "r")
-    return _arrays_of(np.asarray(data))
+        return _mapped(name)
+    if path not in _near:
+        found = read_file(path)
+        while _near and sum(a.nbytes for f in [*_near.values(), found] for a in f) > NEAR:
+            del _near[next(iter(_near))]
+        _near[path] = found
+    return _near[path]
+
+
+@lru_cache(256)
+def _mapped(name: str) -> list[np.ndarray]:
+    return _arrays_of(np.asarray(np.memmap(name, np.uint8, "r")))
 
 
 def read_file(path: str) -> list[np.ndarray]:

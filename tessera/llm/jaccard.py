@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
 from tessera.llm.files import load, runs, save
-from tessera.llm.shared import fresh_path, materialize, release, small_batches
+from tessera.llm.shared import fresh_path, lean, materialize, release, small_batches
 from tessera.llm.words import mix, shingle_sets
 
 WORDS = 5
@@ -129,9 +129,9 @@ def common_signatures(docs: DataFrame, text_col: str) -> tuple[str, list[int]]:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards, path = min(1 << 14, max(1, -(-size // KEY_SHARD))), fresh_path(spark, "signatures")
-    counted = docs.select(text_col).mapInArrow(_key_counts(shards), COUNTS_DDL)
+    counted = docs.select(text_col).mapInArrow(lean(_key_counts(shards)), COUNTS_DDL)
     dealt = counted.repartition(shards, "shard").sortWithinPartitions("shard")
-    return path, sorted(r.shard for r in dealt.mapInArrow(_common_keys(path), "shard long").collect())  # one row a shard
+    return path, sorted(r.shard for r in dealt.mapInArrow(lean(_common_keys(path)), "shard long").collect())  # one row a shard
 
 
 def parity_sketch(found: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = members.unionAll(centres)
     texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("cell", "is_member", "doc_id", "text")
     dealt = texts.repartition("cell").sortWithinPartitions("cell", "is_member", "doc_id")
-    return materialize(dealt.mapInArrow(_verified, "a long, b long"), "links", small=True)
+    return materialize(dealt.mapInArrow(lean(_verified), "a long, b long"), "links", small=True)
 
 
 PAIRS_AT_ONCE = 4_000_000
@@ -386,12 +386,16 @@ def _clashing(base: DataFrame) -> DataFrame | None:
 
 def _graded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """doc_id, n_shingles, set_hash, component_id and is_first (no smaller row links) for every row; and _clashing."""
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _graded_now(docs, id_col, text_col)
+
+
+def _graded_now(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     path, there = common_signatures(given, "text")
     release(spark)
-    base = materialize(given.mapInArrow(_sketches(path, there), SKETCH), "sketches")
+    base = materialize(given.mapInArrow(lean(_sketches(path, there)), SKETCH), "sketches")
     clashing = _clashing(base)
     if clashing is not None:
         # From here on doc_id is a node: the id, or for ids of several sets a number of each set.
@@ -405,10 +409,10 @@ def _graded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     groups = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
     copies = named.select("doc_id", "set_hash").join(groups, "set_hash").filter("doc_id <> rep").select("doc_id")
     copies = copies.join(groups, F.col("doc_id") == F.col("rep"), "left_anti").select(F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SHARDS)).alias("shard"), "doc_id")
-    there = sorted(r.shard for r in copies.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(_saved_ids(path), "shard long").collect())
+    there = sorted(r.shard for r in copies.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(lean(_saved_ids(path)), "shard long").collect())
     release(spark)
     wanted = named.select("doc_id", "n_shingles", "keys", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SHARDS)).alias("shard"))
-    exploded = wanted.mapInArrow(_exploded(path, there), "doc_id long, n_shingles long, key long")
+    exploded = wanted.mapInArrow(lean(_exploded(path, there)), "doc_id long, n_shingles long, key long")
     order = Window.partitionBy("key").orderBy("doc_id")
     near = exploded.withColumn("_other", F.coalesce(F.lag("doc_id").over(order), F.lead("doc_id").over(order)))
     shared = materialize(near.filter("_other IS NOT NULL").select("key", "doc_id", "n_shingles"), "shared")
@@ -444,7 +448,7 @@ def _graded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     members = cells.select("cell", "doc_id", "component", "n_shingles").distinct().join(named.select("doc_id", "sketch"), "doc_id")
     heads = members.select("cell", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("side"), F.lit(0).alias("share"), F.lit(1).alias("shares"), "doc_id", "component", "n_shingles", "sketch")
     placed = heads.unionAll(cells.withColumn("sketch", F.lit(None).cast("binary"))).repartition("cell").sortWithinPartitions("cell", F.col("side") >= 0, "key", "doc_id")
-    candidates = materialize(placed.mapInArrow(_near, "a long, b long").distinct(), "candidates", small=True)
+    candidates = materialize(placed.mapInArrow(lean(_near), "a long, b long").distinct(), "candidates", small=True)
     if not candidates.isEmpty():
         del placed, heads, members, cells
         release(spark)

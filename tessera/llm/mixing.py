@@ -61,9 +61,12 @@ def posteriors(df: DataFrame, labelled: DataFrame, text_col: str = "text", sampl
     labelled: rows with text_col and _label (0 low, 1 good, 2 toxic). At most `sample` of them, by a hash of their text,
     are fitted. Without two classes the posterior is the only class there is, or even shares without labels.
     """
-    order = F.xxhash64(text_col)
-    few = labelled.filter(F.col("_label").isNotNull() & F.col(text_col).isNotNull()).select(text_col, "_label")
-    few = materialize(few.orderBy(order, text_col, "_label").limit(sample).coalesce(4), "labelled")
+    rows = labelled.filter(F.col("_label").isNotNull() & F.col(text_col).isNotNull()).select(text_col, "_label")
+    # Hashes alone are sorted; texts stay in their tasks. Equal rows have equal hashes, so those at the border count one each.
+    order = F.xxhash64(text_col, "_label")
+    last = rows.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    border = rows.filter(order == F.lit(last)).limit(1)
+    few = materialize(rows.filter(order < F.lit(last)).unionAll(border), "labelled", small=True)
     counts = {r[0]: r[1] for r in few.groupBy("_label").count().collect()}
     if len(counts) < 2:
         only = next(iter(counts), None)
@@ -71,9 +74,9 @@ def posteriors(df: DataFrame, labelled: DataFrame, text_col: str = "text", sampl
     words = {"low": lexicon(few, text_col, 0, LEXICON), "toxic": lexicon(few, text_col, 2, LEXICON)}
     names = [f"_f_{k}" for k in FEATURES]
     rows = with_features(few, text_col, words).select(*names, F.col("_label").cast("double").alias("label")).coalesce(1).sortWithinPartitions(*names, "label")
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label").cache()
+    # At most `sample` short rows of numbers; LogisticRegression keeps its own blocks of them while it runs.
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label")
     model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60).fit(rows)
-    rows.unpersist()
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     linear = [reduce(lambda a, b: a + b, (F.lit(float(w)) * F.col(c) for w, c in zip(weights[k], names, strict=True)), F.lit(float(bias[k]))) if k in counts else None for k in range(len(bias))]
     linear += [None] * (len(DOMAINS) - len(linear))
@@ -83,19 +86,20 @@ def posteriors(df: DataFrame, labelled: DataFrame, text_col: str = "text", sampl
     return [p / total for p in powers], words
 
 
-def fit_rates(rows: DataFrame, targets: list[float], budget: float = 1.0, iterations: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
-    """The steps of projected gradient descent over rows of (_n, _p0, _p1, ...), for rate().
+def fit_rates(rows: DataFrame, targets: list[float], budget: float = 1.0, tolerance: float = 1e-4) -> tuple[list[list[float]], float]:
+    """The steps of projected gradient descent over rows of (_n, _p0, _p1, ...), for rate(), and the largest residual left.
 
     The gradient is taken in the metric of the posteriors' Gram matrix (as many rows and columns as there are
-    domains), so few iterations are needed. Where the bound at zero spoils such a step, a plain gradient step of the
-    inverse Lipschitz constant, which always descends, takes its place; the fit ends when neither helps.
+    domains), so few steps are needed. Where the bound at zero spoils such a step, a plain gradient step of the
+    inverse Lipschitz constant, which always descends, takes its place. The fit ends within the tolerance, or when neither
+    step lowers the residual by a hundredth: then no nonnegative rates meet the targets much better.
     """
     k = len(targets)
     p, n = [F.col(f"_p{i}") for i in range(k)], F.col("_n")
     cells = [F.sum(n * p[i] * p[j]) for i in range(k) for j in range(k)]
     first = rows.agg(F.sum(n), *cells).first()
     if not first or not first[0]:
-        return []
+        return [], 0.0
     total = float(first[0])
     gram = np.array(first[1:], float).reshape(k, k) / total
     inverse = np.linalg.pinv(gram, rcond=1e-9)
@@ -104,19 +108,17 @@ def fit_rates(rows: DataFrame, targets: list[float], budget: float = 1.0, iterat
     steps: list[list[float]] = []
     error, size = residual(steps), 1.0
     plain = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
-    for _ in range(iterations):
-        if np.abs(error).max() <= tolerance:
-            break
+    while np.abs(error).max() > tolerance:
         for direction in (size * inverse @ error, plain * error):
             trial = [*steps, direction.tolist()]
             found = residual(trial)
-            if np.linalg.norm(found) < np.linalg.norm(error) * (1 - 1e-3):
+            if np.linalg.norm(found) < np.linalg.norm(error) * 0.99:
                 break
             size /= 2
         else:
             break
         steps, error, size = trial, found, min(1.0, 4 * size)
-    return steps
+    return steps, float(np.abs(error).max())
 
 
 def rate(p: list[Column], steps: list[list[float]]) -> Column:
@@ -129,14 +131,17 @@ def rate(p: list[Column], steps: list[list[float]]) -> Column:
 
 
 def mix(df: DataFrame, labelled: DataFrame, text_col: str = "text", carry: list[str] | None = None, targets: dict[str, float] | None = None, budget: float = 1.0, seed: int = 11) -> DataFrame:
-    """carry (all columns by default) and n_tokens (words), p_low, p_good, p_toxic, rate and copies.
+    """carry (all columns by default) and n_tokens (words), p_low, p_good, p_toxic, rate, copies and residual.
+
+    residual, the same in every row, is the largest difference that the fit leaves between a domain's expected share of
+    tokens and its target; more than the tolerance of 0.0001 says that no nonnegative rates meet the targets.
 
     copies is the rate rounded up or down by a hash of the whole text and seed, so that it is right in expectation.
     A null or empty text has no tokens; it gets a rate all the same. Repeated rows count each. Columns of df named like
     a result are replaced. Empty tables give no rows.
     """
     goal = targets or TARGETS
-    results = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
+    results = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies", "residual"]
     names = [c for c in (df.columns if carry is None else carry) if c.lower() not in results]
     held = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("_none"))
     columns, words = posteriors(df, labelled, text_col)
@@ -144,10 +149,10 @@ def mix(df: DataFrame, labelled: DataFrame, text_col: str = "text", carry: list[
     rows = with_features(df.select(held.alias("_row"), F.col(text_col).alias("_t"), u.alias("_u01")), "_t", words)
     rows = rows.select("_row", "_u01", "_n", *[c.alias(f"_p{i}") for i, c in enumerate(columns)])
     rows = materialize(rows, "posteriors")
-    steps = fit_rates(rows, [goal[d] for d in DOMAINS], budget)
+    steps, residual = fit_rates(rows, [goal[d] for d in DOMAINS], budget)
     p = [F.col(f"_p{i}") for i in range(len(DOMAINS))]
     rows = rows.withColumn("_rate", rate(p, steps))
-    out = rows.select("_row", F.col("_n").alias("n_tokens"), *[x.alias(f"p_{d}") for x, d in zip(p, DOMAINS, strict=True)], F.col("_rate").alias("rate"), F.floor(F.col("_rate") + F.col("_u01")).cast("int").alias("copies"))
+    out = rows.select("_row", F.col("_n").alias("n_tokens"), *[x.alias(f"p_{d}") for x, d in zip(p, DOMAINS, strict=True)], F.col("_rate").alias("rate"), F.floor(F.col("_rate") + F.col("_u01")).cast("int").alias("copies"), F.lit(residual).alias("residual"))
     return out.select(*(["_row.*"] if names else []), *results)
 
 

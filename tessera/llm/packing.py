@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialize, small_batches
+from tessera.llm.shared import lean, materialize, small_batches
 from tessera.llm.tokens import DEFAULT_VOCABULARY, worker_encoder
 
 Group = tuple[tuple[int, ...], int]  # lengths in a bin, number of such bins
@@ -83,27 +83,28 @@ def _without(items: tuple[int, ...], gone: tuple[int, ...]) -> tuple[int, ...]:
     return tuple(kept)
 
 
-def improve(groups: list[Group], capacity: int, max_moves: int = 1500, sources: int = 24) -> list[Group]:
-    """Local search. max_moves and sources (emptiest groups tried as givers) bound the driver's time."""
+def improve(groups: list[Group], capacity: int) -> list[Group]:
+    """Local search to its end: no exchange between underfull bins raises the squared fill, or no packing has fewer bins."""
     bins = dict(groups)
+    least = -(-sum(sum(g) * n for g, n in groups) // capacity)
     by_fill = lambda g: (sum(g), g)
-    for _ in range(max_moves):
+    while sum(bins.values()) > least:
         under = sorted((g for g in bins if sum(g) < capacity), key=by_fill)
+        sides = [(g, sum(g), [(sum(p), p) for p in _parts(g)]) for g in under]
         best = None
-        for giver in under[:sources]:
-            fill = sum(giver)
-            offers = [(sum(p), p) for p in _parts(giver) if p]
-            for taker in reversed(under):
-                if sum(taker) < fill or taker == giver and bins[giver] < 2:
+        for giver, fill, offers in sides:
+            for taker, full, backs in reversed(sides):
+                if full < fill:
+                    break
+                if taker == giver and bins[giver] < 2:
                     continue
-                free = capacity - sum(taker)
-                back = [(sum(p), p) for p in _parts(taker)]
-                for give, p in offers:
-                    for take, q in back:
+                free = capacity - full
+                for give, p in offers[1:]:
+                    for take, q in backs:
                         # Moves: 1-0, 2-0; exchanges: 1-1, 2-1, 1-2. The taker's fill must rise.
                         gain = give - take
                         if 0 < gain <= free and len(p) + len(q) <= 3:
-                            rise = 2 * gain * (sum(taker) - fill + gain)
+                            rise = 2 * gain * (full - fill + gain)
                             emptied = fill - gain == 0
                             if best is None or (emptied, rise) > best[0]:
                                 best = ((emptied, rise), giver, taker, p, q)
@@ -132,16 +133,15 @@ def tokenised(vocabulary: str, end_id: int, capacity: int):
         seen: dict[int, int] = defaultdict(int)
         part, encoder = TaskContext.get().partitionId(), worker_encoder(vocabulary)
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                rows: list[tuple] = []
-                some = batch.slice(s, 512)
-                for doc, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    ids, start = ids + tail, 0
-                    for i, n in enumerate(cut(len(ids) // 4, capacity)):
-                        piece = ids[4 * start : 4 * (start + n)]
-                        rows.append((doc, i, start, n, piece, zlib.crc32(piece), part, seen[n]))
-                        seen[n] += 1
-                        start += n
+            rows: list[tuple] = []
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                ids, start = ids + tail, 0
+                for i, n in enumerate(cut(len(ids) // 4, capacity)):
+                    piece = ids[4 * start : 4 * (start + n)]
+                    rows.append((doc, i, start, n, piece, zlib.crc32(piece), part, seen[n]))
+                    seen[n] += 1
+                    start += n
+            if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
@@ -153,10 +153,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     A null or empty text is a document of end_id alone. Rows that share an id, or have none, are separate documents.
     Empty tables give no rows. Other columns of docs are ignored.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = materialize(given.mapInArrow(tokenised(vocabulary, end_id, capacity), PIECES), "pieces")
+    with small_batches(spark):
+        pieces = materialize(given.mapInArrow(lean(tokenised(vocabulary, end_id, capacity)), PIECES), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     groups = improve(best_fit(histogram, capacity), capacity)
@@ -175,8 +175,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("_before"))
     ranked = pieces.join(offsets, ["part", "length"]).withColumn("_rank", F.col("_before") + F.col("nth"))
-    # One row per length and one place per group that uses it: bounded by the groups, which do not grow with the rows.
-    placed = ranked.join(F.broadcast(plan), "length").withColumn("_i", F.size(F.filter("_ranks", lambda r: r <= F.col("_rank"))))
+    # One row per length and one place (20 bytes) per item of a group: broadcast up to 20 MB, joined by a shuffle beyond it.
+    plan = F.broadcast(plan) if sum(map(len, places.values())) <= 1 << 20 else plan
+    placed = ranked.join(plan, "length").withColumn("_i", F.size(F.filter("_ranks", lambda r: r <= F.col("_rank"))))
     return placed.select(
         "doc_id",
         "piece",

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import os
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. Results may read it for as long as the driver lives; clean() deletes it."""
+    if not _made:
+        atexit.register(clean)
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean() -> None:
+    """Delete all that this driver has put into the shared folder. Runs when the driver ends; results read before are void after it."""
+    spark = SparkSession.getActiveSession()
+    while _made:
+        path = _made.pop()
+        try:
+            if spark is not None:
+                drop_path(spark, path)
+        except Exception:  # noqa: BLE001  (the session may be gone: then its files stay)
+            return
 
 
 def materialize(df: DataFrame, what: str, small: bool = False) -> DataFrame:
@@ -38,10 +61,28 @@ def materialize(df: DataFrame, what: str, small: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    (df.hint("rebalance") if small else df).write.option("compression", "zstd").parquet(path)
+    # A writer holds a row group in memory: 16 MB of them are enough.
+    (df.hint("rebalance") if small else df).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that gives freed memory back to the system at its end: Python workers live on between tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not every C library has it
+                pass
+
+    return wrapped
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later time."""
     for _ in range(2):  # the first round lets go of Python's references, the second of what they held
@@ -50,10 +91,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows from now on in this session: texts may be long, and a batch is held as a whole."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Arrow batches of few rows while an action runs: texts may be long, and a batch is held as a whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if int(before) <= 0 or int(before) > rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

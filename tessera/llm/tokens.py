@@ -13,15 +13,36 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces longer than LONGEST are not kept, nor any beyond KEEP; both bound memory only.
-LONGEST, KEEP = 40, 1_200_000
+LONGEST, KEEP = 40, 1_000_000
 #: White space in runs. Without it, and without any at the ends, every blank and line end is a place to cut.
 RUN = re.compile(r"\s\s")
 #: Where a text with such white space may still be cut.
-CUT = re.compile(r"(?<=\S)(?= \S)")
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Texts encoded at once.
+GROUP = 512
+TOGETHER = 256
+
+
+class _Pieces(dict):
+    """Ids by piece. A piece it lacks is noted, and stands as an empty bytearray that is filled later.
+
+    A piece is what follows a blank; NUL marks one without a blank before it (NUL alone: that text as it is, and after a
+    line end: the line end and what follows it).
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> bytearray:
+        found = self[piece] = bytearray()
+        self.fresh.append(piece)
+        return found
 
 
 class Encoder:
@@ -34,33 +55,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces()
         self.cuts = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         # Texts that spell a special token go to the library whole: it takes such tokens out before pre-tokenising.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary_of = self.tokenizer.get_vocab()
+        self.blank = np.zeros(max(vocabulary_of.values()) + 1, bool)
+        self.blank[[i for t, i in vocabulary_of.items() if t[0] == "\u0120"]] = True
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, text: str) -> list:
+        get = self.known.__getitem__
+        if text[0].isspace() or text[-1].isspace() or RUN.search(text):
+            pieces = CUT.split(text)
+        else:
+            pieces = text.replace("\n", " \n\0").split(" ")
+        return [get("\0" + pieces[0]), *map(get, pieces[1:])]
+
+    def _fill(self) -> None:
+        """The ids of all pieces noted as missing: pieces without white space are encoded many at once, and told apart by their first token."""
+        known, some = self.known, [[], [], []]
+        for p in self.known.fresh:
+            some[2 if p[0] == "\0" or " " in p else p[:2] == "\n\0"].append(p)
+        for s in range(0, len(some[0]), TOGETHER):
+            part = some[0][s : s + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint32)
+            self._deal(part, ids, np.flatnonzero(self.blank[ids]))
+        for s in range(0, len(some[1]), TOGETHER):
+            part = some[1][s : s + TOGETHER]
+            ids = np.array(self.tokenizer.encode("x" + "".join(p[0] + p[2:] for p in part), add_special_tokens=False).ids, np.uint32)
+            self._deal(part, ids, np.flatnonzero(ids == self.line_end))
+        for s in range(0, len(some[2]), 4096):
+            part = some[2][s : s + 4096]
+            for piece, ids in zip(part, self._ids([p[1:] if p[0] == "\0" else " " + p for p in part]), strict=True):
+                known[piece] += ids
+
+    def _deal(self, part: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
+        known, data = self.known, ids.tobytes()
+        ends = np.append(starts[1:], len(ids))
+        for piece, a, b in zip(part, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+            known[piece] += data[a:b]
 
-    def _pieces(self, text: str) -> list[str]:
-        if not self.cuts or any(t in text for t in self.special):
-            return [text]
-        if "\0" in text or text[0].isspace() or text[-1].isspace() or RUN.search(text):
-            return CUT.split(text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        cut = [self._pieces(t) if t else [] for t in texts]
-        known = self.known
-        fresh = list(set().union(*cut).difference(known))
-        full = len(known) + len(fresh) > KEEP
-        for s in range(0, len(fresh), 4096):
-            part = fresh[s : s + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = array("I", e.ids).tobytes()
-        get = known.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in cut]
-        for piece in fresh:
-            if full or len(piece) > LONGEST:
-                del known[piece]
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; a null text is empty."""
+        out: list[bytes] = []
+        for s in range(0, len(texts), GROUP):
+            some = [t or "" for t in texts[s : s + GROUP]]
+            whole = {i for i, t in enumerate(some) if not t or not self.cuts or "\0" in t or any(x in t for x in self.special)}
+            parts = [None if i in whole else self._parts(t) for i, t in enumerate(some)]
+            full = len(self.known) > KEEP
+            self._fill()
+            out += [self._ids([t])[0] if p is None else b"".join(p) for t, p in zip(some, parts, strict=True)]
+            for piece in self.known.fresh:
+                if full or len(piece) > LONGEST:
+                    del self.known[piece]
+                else:
+                    self.known[piece] = bytes(self.known[piece])
+            self.known.fresh.clear()
         return out
 
 

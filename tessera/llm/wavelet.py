@@ -1,13 +1,16 @@
 """Token ids in wavelet matrices: one compressed file per shard of consecutive documents.
 
 A shard holds the token sequence of whole documents in ascending id order as succinct bit-planes over its own
-alphabet, with a directory of ones per 512 bits. One file supports token access, counting a token in any range, and
-finding its n-th occurrence, without the sequence itself. The planes decode back to the exact ids.
+alphabet, with a directory of ones per 512 bits and samples for select. One file supports token access, counting a
+token in any range, and finding its n-th occurrence, without the sequence itself: planes and directories lie in it as
+they are, so that a memory map reads the few pages that an access needs; ids, lengths and alphabet are compressed
+besides. The planes decode back to the exact ids.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.files import read_file, save
-from tessera.llm.shared import fresh_path, small_batches
+from tessera.llm.files import load, read_file, save
+from tessera.llm.shared import fresh_path, lean, small_batches
 from tessera.llm.tokens import DEFAULT_VOCABULARY, worker_encoder
 
 BLOCK = 512  # bits per entry of the directory
+SAMPLE = 8192  # bits of a kind between two samples for select
 MAX_READERS = 10_000  # tasks that read shards back
 MANIFEST_DDL = "part int, shard int, n_tokens long"
 MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64())])
@@ -29,9 +33,9 @@ MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens",
 class WaveletMatrix:
     """Rank, select and access over a sequence of whole numbers."""
 
-    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[bytes], ones: list[bytes]) -> None:
-        self.n, self.alphabet, self.zeros = n, alphabet, zeros
-        self.planes, self.ones = [np.frombuffer(p, np.uint8) for p in planes], [np.frombuffer(o, np.uint64) for o in ones]
+    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray], ones: list[np.ndarray], samples: list[np.ndarray] | None = None) -> None:
+        """samples: per plane the blocks that hold every SAMPLE-th zero, then those of the ones."""
+        self.n, self.alphabet, self.zeros, self.planes, self.ones, self.samples = n, alphabet, zeros, planes, ones, samples or []
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -43,18 +47,23 @@ class WaveletMatrix:
         dense = np.zeros(top, kind)
         dense[alphabet] = np.arange(len(alphabet))
         seq = dense[ids]
-        zeros, planes, ones = [], [], []
+        zeros, planes, ones, samples = [], [], [], []
         for level in reversed(range(max(1, (max(1, len(alphabet)) - 1).bit_length()))):
             bit = (seq & kind(1 << level)) != 0
             packed = np.packbits(bit, bitorder="little")
             padded = np.zeros(-(-len(packed) // 64) * 64, np.uint8)
             padded[: len(packed)] = packed
             per = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64)
-            seq = seq[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])]
-            planes.append(packed.tobytes())
-            ones.append(np.concatenate([np.zeros(1, np.uint64), per.cumsum(dtype=np.uint64)]).tobytes())
-            zeros.append(len(bit) - int(per.sum()))
-        return cls(len(ids), alphabet, zeros, planes, ones)
+            count = np.concatenate([np.zeros(1, np.uint64), per.cumsum(dtype=np.uint64)])
+            total = int(count[-1])
+            seq = np.concatenate([seq.compress(~bit), seq.compress(bit)])
+            planes.append(packed)
+            ones.append(count)
+            zeros.append(len(bit) - total)
+            before = np.arange(len(count), dtype=np.int64) * BLOCK - count.astype(np.int64)
+            for kinds, size in ((before, zeros[-1]), (count, total)):
+                samples.append((np.searchsorted(kinds, np.arange(0, size, SAMPLE), side="right") - 1).astype(np.uint32))
+        return cls(len(ids), alphabet, zeros, planes, ones, samples)
 
     def _bit(self, level: int, i: int) -> int:
         return int(self.planes[level][i >> 3]) >> (i & 7) & 1
@@ -68,13 +77,14 @@ class WaveletMatrix:
         return n + (int(plane[to_byte]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else n
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) bit of that kind."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid + 1)
-            lo, hi = (lo, mid) if (ones if bit else mid + 1 - ones) > k else (mid + 1, hi)
-        return lo
+        """Position of the k-th (from 0) bit of that kind: between two samples, the block by the directory, then the bit in it."""
+        ones, sample = self.ones[level], self.samples[2 * level + bit]
+        before = (lambda b: int(ones[b])) if bit else (lambda b: b * BLOCK - int(ones[b]))
+        at = k // SAMPLE
+        lo, hi = int(sample[at]), int(sample[at + 1]) + 1 if at + 1 < len(sample) else len(ones) - 1
+        block = bisect_right(range(lo, hi), k, key=before) + lo - 1
+        part = self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8]
+        return block * BLOCK + int(np.flatnonzero(np.unpackbits(part, bitorder="little") == bit)[k - before(block)])
 
     def access(self, i: int) -> int:
         """The token at position i."""
@@ -124,7 +134,10 @@ class WaveletMatrix:
             out = np.empty(self.n, kind)
             zeros = self.zeros[level]
             seq[zeros:] |= kind(1 << shift)
-            out[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])] = seq
+            if 8 * min(zeros, self.n - zeros) < self.n:  # masks are faster where one kind is rare
+                out[bit], out[~bit] = seq[zeros:], seq[:zeros]
+            else:
+                out[np.flatnonzero(~bit)], out[np.flatnonzero(bit)] = seq[:zeros], seq[zeros:]
             seq = out
         return self.alphabet[seq] if self.n else np.zeros(0, np.uint32)
 
@@ -142,11 +155,12 @@ def unpacked(a: np.ndarray) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[16:], max_output_size=size), np.dtype(raw[:8].decode().strip()))
 
 
-def open_shard(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
-    """doc_ids, which of them are known, lengths and the matrix of one file."""
-    sizes, ids, lengths, known, alphabet, zeros, *rest = map(unpacked, read_file(path))
-    n, levels = int(sizes[0]), int(sizes[1])
-    return ids, known.astype(bool), lengths, WaveletMatrix(n, alphabet, zeros.tolist(), [p.tobytes() for p in rest[:levels]], [o.tobytes() for o in rest[levels:]])
+def open_shard(path: str, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
+    """doc_ids, which of them are known, lengths and the matrix of one file; mapped, or read if the whole is wanted."""
+    sizes, ids, lengths, known, alphabet, *rest = read_file(path) if whole else load(path)
+    n, levels, _, *zeros = unpacked(sizes).tolist()
+    planes, ones, samples = rest[:levels], rest[levels : 2 * levels], rest[2 * levels :]
+    return unpacked(ids), unpacked(known).astype(bool), unpacked(lengths), WaveletMatrix(n, unpacked(alphabet), zeros, planes, ones, samples)
 
 
 def _writer(path: str, vocabulary: str, end_id: int, shard_tokens: int):
@@ -156,24 +170,21 @@ def _writer(path: str, vocabulary: str, end_id: int, shard_tokens: int):
         m = WaveletMatrix.build(np.frombuffer(b"".join(ids), np.uint32))
         lengths = np.array([len(i) // 4 for i in ids], np.int64)
         known = np.array([d is not None for d in docs], np.uint8)
-        sizes = [m.n, len(m.planes), len(docs)]
-        arrays = [np.array(sizes, np.int64), np.array([d or 0 for d in docs], np.int64), lengths, known, m.alphabet, np.array(m.zeros, np.int64), *m.planes, *m.ones]
-        save(f"{path}/{part:06d}-{number:06d}.wm", [packed(a) for a in arrays])
+        small = [np.array([m.n, len(m.planes), len(docs), *m.zeros], np.int64), np.array([d or 0 for d in docs], np.int64), lengths, known, m.alphabet]
+        save(f"{path}/{part:06d}-{number:06d}.wm", [*map(packed, small), *m.planes, *m.ones, *m.samples])
         return pa.RecordBatch.from_pylist([{"part": part, "shard": number, "n_tokens": m.n}], schema=MANIFEST)
 
     def run(batches):
         part, encoder, number = TaskContext.get().partitionId(), worker_encoder(vocabulary), 0
         docs, ids, held = [], [], 0
         for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                some = batch.slice(s, 512)
-                for doc, found in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    docs.append(doc)
-                    ids.append(found + tail)
-                    held += len(found) // 4 + 1
-                    if held >= shard_tokens:
-                        yield shard_row(part, number, docs, ids)
-                        docs, ids, held, number = [], [], 0, number + 1
+            for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                docs.append(doc)
+                ids.append(found + tail)
+                held += len(found) // 4 + 1
+                if held >= shard_tokens:
+                    yield shard_row(part, number, docs, ids)
+                    docs, ids, held, number = [], [], 0, number + 1
         if docs:
             yield shard_row(part, number, docs, ids)
 
@@ -186,12 +197,14 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     A null text is empty. Rows that share an id are separate documents, ordered by their text; a null id comes first.
     A shard closes after shard_tokens; a longer document makes its shard as much longer.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    shards = ordered.mapInArrow(_writer(path, vocabulary, end_id, shard_tokens), MANIFEST_DDL)
-    shards.write.parquet(f"{path}/manifest")
+    # As many ranges as the input has partitions: they grow with it.
+    ranges = max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(ranges, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    shards = ordered.mapInArrow(lean(_writer(path, vocabulary, end_id, shard_tokens)), MANIFEST_DDL)
+    with small_batches(docs.sparkSession):
+        shards.write.parquet(f"{path}/manifest")
 
 
 def _reader(path: str, with_ids: bool):
@@ -200,7 +213,7 @@ def _reader(path: str, with_ids: bool):
     def run(batches):
         for batch in batches:
             for part, shard, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, known, lengths, m = open_shard(f"{path}/{part:06d}-{shard:06d}.wm")
+                ids, known, lengths, m = open_shard(f"{path}/{part:06d}-{shard:06d}.wm", whole=True)
                 data, ends = m.decode().tobytes(), lengths.cumsum()
                 for s in range(0, len(ids), 1024):
                     some = slice(s, s + 1024)
@@ -224,7 +237,7 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     # One row a shard, with the ids before it: spread over tasks, each opens the files of its rows.
     wanted = base.select("part", "shard", (F.col("_part") + F.col("_shard")).alias("base"))
     tasks = max(1, min(sizes.count(), MAX_READERS))
-    return wanted.repartition(tasks).mapInArrow(_reader(path, with_ids), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return wanted.repartition(tasks).mapInArrow(lean(_reader(path, with_ids)), "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame, path: str | None = None, with_ids: bool = True, **options) -> DataFrame:

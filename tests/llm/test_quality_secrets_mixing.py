@@ -144,7 +144,7 @@ def test_resampling_keeps_columns(spark):
 @pytest.mark.parametrize("values", [[0.2, 0.5, 0.3], [1.0, 0.0, 0.0]])
 def test_rates_stay_nonnegative(spark, values):
     rows = spark.createDataFrame([(10, *np.roll([0.9, 0.05, 0.05], i).tolist()) for i in range(3)], "_n long, _p0 double, _p1 double, _p2 double")
-    steps = mixing.fit_rates(rows, values)
+    steps, _ = mixing.fit_rates(rows, values)
     p = [F.col(f"_p{i}") for i in range(3)]
     got = rows.select("*", mixing.rate(p, steps).alias("r")).collect()
     assert min(r.r for r in got) >= 0
