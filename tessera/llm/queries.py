@@ -46,7 +46,7 @@ def op5_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
 
 def op6_run_length_dedup(spark: SparkSession, d: str) -> DataFrame:
     """What is left of every document without the 50-byte strings that an earlier one holds."""
-    cut = suffix_dedup.remove_repeats(_table(spark, d, "documents"))
+    cut = suffix_dedup.remove_repeats(_table(spark, d, "documents"), with_kept=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import suffix_dedup as sd
+from tessera.llm.run_index import RunIndex
 
 
 def brute(rows, w=50):
@@ -54,7 +55,9 @@ def corpus(seed):
 @pytest.mark.parametrize(("seed", "chunk", "shard"), [(1, 1 << 20, 48 << 20), (2, 200, 3000), (3, 1 << 20, 900)])
 def test_removal_equals_brute_force(spark, monkeypatch, seed, chunk, shard):
     monkeypatch.setattr(sd, "SHARD_BYTES", shard)
-    monkeypatch.setattr(sd, "INDEX_BYTES", shard)
+    monkeypatch.setattr(sd, "INDEX_BYTES", shard // 3)
+    monkeypatch.setattr(sd, "DEALT", chunk)
+    monkeypatch.setattr(sd, "CHUNK", chunk)
     rows = list(enumerate(corpus(seed)))
     random.Random(seed).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS shard")
@@ -81,7 +84,7 @@ def test_stretches_cover_all_windows_once():
     covered = [p for a, b in zip(first, last) for p in range(a, b + 1)]
     begins = [0, *ends[:-1]]
     assert covered == [p for s, e in zip(begins, ends) for p in range(s, e - 49)]
-    assert ((anchor >= last) & (anchor + 16 <= first + 50)).all()
+    assert ((anchor >= last) & (anchor + sd.ANCHOR <= first + 50)).all()
     whole = sd.stretches(data[1000:1049], np.array([49]))
     assert len(whole[0]) == 0
     # Long texts are cut between windows only.
@@ -95,3 +98,44 @@ def test_stretches_cover_all_windows_once():
     finally:
         sd.CHUNK = old
     assert windows == list(range(2451))
+
+
+def test_index_alone_finds_what_brute_force_finds():
+    """Whole texts in run-length indexes, without anchors: one index, and several that all texts are streamed through."""
+    rows = [(i, t) for i, t in enumerate(corpus(5)) if t]
+    want = brute(rows)
+    texts = [t.encode() for _, t in rows]
+    size, data = np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8)
+    docs = np.array([i for i, _ in rows])
+    for limit in (None, 3000, 400):
+        found = sd.earliest(data, size, docs, limit)
+        at = 0
+        for (i, _), n in zip(rows, size.tolist(), strict=True):
+            covered = np.zeros(n, bool)
+            for p in range(max(0, n - 49)):
+                if found[at + p] < i:
+                    covered[p : p + 50] = True
+            at += max(0, n - 49)
+            assert covered.sum() == want[i][0][1]
+
+
+def test_matching_statistics_are_the_longest_matches():
+    rng = random.Random(8)
+    for alphabet in (b"a", b"ab", "aé\0".encode()):
+        some = lambda n, letters=alphabet: bytes(rng.choice(letters) for _ in range(n))
+        texts, patterns = [some(rng.randint(1, 40)) for _ in range(9)], [some(rng.randint(1, 60)) for _ in range(5)]
+        as_arrays = lambda x: (np.frombuffer(b"".join(x), np.uint8), np.array([len(t) for t in x]))
+        index = RunIndex(*as_arrays(texts), np.arange(9), 8)
+        assert len(index.char) <= len(index.data)
+        for which, place, length, _, found in index.statistics(*as_arrays(patterns)):
+            for w, i, n, f in zip(which, place, length.tolist(), found.tolist()):
+                rest = patterns[w][i:]
+                assert n == max(k for k in range(len(rest) + 1) if any(rest[:k] in t for t in texts))
+                assert index.data[f : f + n].tobytes() == rest[:n]
+
+
+def test_a_repetitive_corpus_has_few_runs():
+    base = bytes(np.random.default_rng(3).integers(97, 123, 3000).astype(np.uint8))
+    texts = [base] * 40
+    index = RunIndex(np.frombuffer(b"".join(texts), np.uint8), np.array([3000] * 40), np.arange(40), 50)
+    assert len(index.char) < 3100 and len(index.data) == 40 * 3001
