@@ -1,139 +1,90 @@
 """Exact n-gram Jaccard join and its classes, by parity sketches and the pigeonhole principle.
 
 A document is the set of its distinct 5-word shingles, hashed to 64 bits. Sets A and B link when J(A, B) >= 0.8, which
-bounds their symmetric difference by (|A| + |B|) / 9. A sketch deals a set's hashes to segments; every hash toggles one
-parity bit of the sketch, so the Hamming distance of two sketches is a lower bound of the symmetric difference, and is
-XORed into its segment's 64-bit signature. k differing hashes touch at most k segments, so two linked sets share a non-empty
-segment with equal signature, even among the k + 1 smallest of each set's signatures (prefix principle). Those
-signatures are joined per size band; what meets is verified on the whole texts.
+bounds their symmetric difference by a quarter of the smaller one. A sketch toggles one parity bit for every hash, so
+the Hamming distance of two sketches is a lower bound of the symmetric difference. For the join a sketch of a size
+band has about a third as many segments as sets have hashes, each 2**32 bits wide and held as the XOR of its hashes'
+mixes: its signature. Sets that differ in k hashes differ in k segments at most, so they share a non-empty segment,
+even among the k + 1 heaviest of each set (prefix principle; the order is by hashes in the segment, as what few hashes
+give, many unrelated documents have). Those signatures are joined per size band; what meets is verified on the words
+of the whole texts.
 
 Groups are never expanded into all pairs. In a few rounds every document is verified against one partner, the centre of
 most of its signature groups. Only groups that then still hold several components are compared further, in blocks,
-and only pairs whose sketches' Hamming distance allows a link are verified.
+and only pairs whose narrow sketches' Hamming distance allows a link are verified.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.graph import components
 from tessera.llm.files import load, runs, save
-from tessera.llm.shared import fresh_path, lean, materialize, release, small_batches
-from tessera.llm.words import mix, shingle_sets
+from tessera.llm.graph import components
+from tessera.llm.shared import drop_path, fresh_path, lean, materialize, small_batches
+from tessera.llm.words import LOWER, mix, shingle_sets
 
 WORDS = 5
-BLOCK = 2048  # documents of one signature group compared at once; larger groups are cut into blocks
+BLOCK = 1024  # documents of one signature group compared at once; larger groups are cut into blocks
 CHUNK = 256  # documents verified against one centre in one task
 SKETCH = "doc_id long, n_shingles long, set_hash binary, keys array<bigint>, sketch binary"
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
+def _edges() -> list[int]:
+    """The least sizes of the bands: a set's partners of its size or more lie in its band or the next."""
+    out = [1, 2]
+    while out[-1] < 1 << 48:
+        out.append(max(out[-1] + 1, 5 * (out[-1] - 1) // 4 + 1))
+    return out
+
+
+EDGES = _edges()
+
+
 def segments(band: int) -> int:
-    """Segments of a sketch for sets of 2**band to 2**(band + 1) - 1 shingles: more than k stay non-empty."""
-    return max(512, int(0.35 * 2 ** (band + 1)))
+    """Segments of a band's sketches: a third of its largest sets' hashes, so that more than a quarter stay non-empty."""
+    return -(-34 * (EDGES[band + 1] - 1) // 100) + 2
 
 
-def segment_keys(found: np.ndarray) -> list[np.ndarray]:
-    """Per size band of a sorted set of hashes the signatures of its non-empty segments."""
-    n = len(found)
-    if not n:
+def segment_keys(found: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For both bands of a sorted set of hashes, its own and the one below: k, the signatures of its non-empty segments, and how many hashes each has."""
+    if not len(found):
         return []
-    own = n.bit_length() - 1
-    bands = [own] + ([own + 1] if 5 * n // 4 >= 2 ** (own + 1) else [])
+    own = bisect_right(EDGES, len(found)) - 1
     scattered, out = mix(found ^ _SALT), []
-    for band in bands:
+    for band in (own, own - 1):
+        if band < 0:
+            continue
         # Sorted hashes fall into segments in order, so a segment is a run.
         segment = ((found >> np.uint64(32)) * np.uint64(segments(band))) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        keys = mix(np.bitwise_xor.reduceat(scattered, starts) + segment[starts] + np.uint64(band << 40))
-        if len(keys) <= n // 4:  # too few segments for the principle: every hash is a key as well
+        weight = np.diff(np.append(starts, len(found)))
+        keys = mix(np.bitwise_xor.reduceat(scattered, starts) + segment[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band << 40))
+        # The smaller set of a linked pair has its size in this band, and the sets differ in a quarter of it at most.
+        k = min(len(found), EDGES[band + 1] - 1) // 4
+        if len(keys) <= k:  # too few segments for the principle: every hash is a key as well
             keys = np.concatenate([keys, mix(scattered + np.uint64(band))])
-        out.append(keys)
+            weight, k = np.concatenate([weight, np.ones(len(found), np.int64)]), len(keys)
+        out.append((k, keys, weight))
     return out
 
 
-def signatures(found: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
-    """The join keys of a set: per size band its k + 1 first signatures in a global order.
-
-    The order is that of the signatures' hashes, but those whose upper half is in `common` (sorted) come last: what a
-    passage of many documents gives is joined on only where the rest is too little.
-    """
-    k, out = len(found) // 4, []
-    for keys in segment_keys(found):
+def signatures(found: np.ndarray) -> np.ndarray:
+    """The join keys of a set: per size band its k + 1 first signatures, those of many hashes before those of few."""
+    out = []
+    for k, keys, weight in segment_keys(found):
         if len(keys) > k + 1:
-            order = keys >> np.uint64(1)
-            if common is not None and len(common):
-                upper = (keys >> np.uint64(32)).astype(np.uint32)
-                at = np.minimum(np.searchsorted(common, upper), len(common) - 1)
-                order = order | ((common[at] == upper).astype(np.uint64) << np.uint64(63))
+            order = (keys >> np.uint64(8)) | ((np.uint64(255) - np.minimum(weight, 255).astype(np.uint64)) << np.uint64(56))
             keys = keys[np.argpartition(order, k)[: k + 1]]
         out.append(keys)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-#: Signatures of more sets than this are common ones.
-COMMON = 16
-KEY_SHARD = 1 << 25  # bytes of text behind one shard of signature counts
-COUNTS_DDL, COUNTS = "shard long, keys binary, n binary", pa.schema([("shard", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-
-
-def _key_counts(shards: int):
-    """Counts of the upper halves of signatures, combined in the task and dealt by their value."""
-
-    def flush(held: list):
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        shard = (found.astype(np.uint64) * np.uint64(shards)) >> np.uint64(32)
-        cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(found)]])
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            yield pa.RecordBatch.from_pylist([{"shard": int(shard[i]), "keys": found[i:j].tobytes(), "n": np.minimum(n[i:j], 255).astype(np.uint8).tobytes()}], schema=COUNTS)
-
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for found in shingle_sets(batch.column(0), WORDS):
-                for keys in segment_keys(found):
-                    held.append((keys >> np.uint64(32)).astype(np.uint32))
-                    size += len(keys)
-            if size > 4_000_000:
-                yield from flush(held)
-                held, size = [], 0
-        if size:
-            yield from flush(held)
-
-    return run
-
-
-def _common_keys(path: str):
-    """Save each shard's common signatures as a sorted array."""
-
-    def run(batches):
-        for shard, rows in runs(batches, "shard"):
-            keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint32)
-            n = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8)
-            order = np.argsort(keys, kind="stable")
-            found, start = np.unique(keys[order], return_index=True)
-            total = np.add.reduceat(n[order].astype(np.int64), start)
-            save(f"{path}/common-{shard}", [found[total > COMMON]])
-            yield pa.RecordBatch.from_pylist([{"shard": int(shard)}], schema=pa.schema([("shard", pa.int64())]))
-
-    return run
-
-
-def common_signatures(docs: DataFrame, text_col: str) -> tuple[str, list[int]]:
-    """Where the common signatures of all texts are saved, and in which shards. Only their order depends on them."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards, path = min(1 << 14, max(1, -(-size // KEY_SHARD))), fresh_path(spark, "signatures")
-    counted = docs.select(text_col).mapInArrow(lean(_key_counts(shards)), COUNTS_DDL)
-    dealt = counted.repartition(shards, "shard").sortWithinPartitions("shard")
-    return path, sorted(r.shard for r in dealt.mapInArrow(lean(_common_keys(path)), "shard long").collect())  # one row a shard
-
-
 def parity_sketch(found: np.ndarray) -> np.ndarray:
     """2n to 4n parity bits of a set of n hashes, as bytes: each hash toggles one."""
     bits = max(64, 1 << (len(found).bit_length() + 1))
@@ -155,80 +106,84 @@ def set_hash(text: Column) -> Column:
     return F.arrow_udf(lambda texts: pa.array([_set_hash(x) for x in shingle_sets(texts, WORDS)], pa.binary()), "binary")(text)
 
 
-def _sketches(path: str, there: list[int]):
-    def run(batches):
-        # A 32-bit value in COMMON sets or more: the array is bounded by the signatures over COMMON, and at most 16 GB.
-        common = np.concatenate([load(f"{path}/common-{s}")[0] for s in there]) if there else None
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
-        for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                some = batch.slice(s, 512)
-                sizes, hashes, keys, sketch = [], [], [], []
-                for found in shingle_sets(some.column(1), WORDS):
-                    sizes.append(len(found))
-                    hashes.append(_set_hash(found))
-                    if len(found):
-                        keys.append(signatures(found, common))
-                        sketch.append(parity_sketch(found).tobytes())
-                    else:
-                        keys.append(np.zeros(0, np.int64))
-                        sketch.append(b"")
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(np.concatenate(keys)))
-                yield pa.record_batch([some.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), lists, pa.array(sketch, pa.binary())], schema=schema)
-
-    return run
+def _sketches(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    for batch in batches:
+        for s in range(0, batch.num_rows, 512):
+            some = batch.slice(s, 512)
+            sizes, hashes, keys, sketch = [], [], [], []
+            for found in shingle_sets(some.column(1), WORDS):
+                sizes.append(len(found))
+                hashes.append(_set_hash(found))
+                keys.append(signatures(found))
+                sketch.append(parity_sketch(found).tobytes() if len(found) else b"")
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), pa.array(np.concatenate(keys)))
+            yield pa.record_batch([some.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), lists, pa.array(sketch, pa.binary())], schema=schema)
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_TABLE = LOWER.tobytes()
+
+
+def shingle_words(text: str | None) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as tuples of their words."""
+    found = (text or "").encode().translate(_TABLE).split()  # splits at 20 and 09 to 0D
+    return set(zip(*(found[k:] for k in range(WORDS)))) if len(found) >= WORDS else {tuple(found)} if found else set()
 
 
 def _verified(batches):
-    """Links of sorted (cell, is_member, centre, doc_id, text): the centre comes first in its cell."""
-    cell, centre, base = None, None, None
+    """Links of sorted (cell, is_member, doc_id, text): the centres come first in their cell. Decided on words."""
+    cell, centres = None, []
     for batch in batches:
         cells, members, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "is_member", "doc_id"))
         out: list[tuple[int, int]] = []
-        for i, found in enumerate(shingle_sets(batch.column("text"), WORDS)):
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            if cells[i] != cell:
+                cell, centres = cells[i], []
+            found = shingle_words(text)
             if not members[i]:
-                cell, centre, base = cells[i], ids[i], found
-            elif cell == cells[i] and len(base) and len(found):
-                both = len(np.intersect1d(base, found, assume_unique=True))
-                if 100 * both >= 80 * (len(base) + len(found) - both):
+                centres.append((ids[i], found))
+                continue
+            for centre, base in centres:
+                both = len(base & found)
+                if both and 100 * both >= 80 * (len(base) + len(found) - both):
                     out.append((centre, ids[i]))
         if out:
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=PAIR)
 
 
+#: Ids that are broadcast at most (8 bytes each); beyond, texts are joined by a shuffle.
+BROADCAST_IDS = 1 << 19
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose whole texts link, from docs (doc_id, text).
 
     Members are checked against their centre a in chunks; a centre's text goes to each of its chunks once.
     """
-    chunk = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / CHUNK)
-    members = pairs.select("a", F.col("b").alias("doc_id"), F.xxhash64("a", chunk).alias("cell"), F.lit(True).alias("is_member"))
+    chunks = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("b"), F.col("chunks"))
+    members = pairs.join(chunks, F.col("a") == F.col("of")).select("a", F.col("b").alias("doc_id"), F.xxhash64("a", chunk).alias("cell"), F.lit(True).alias("is_member"))
     centres = members.select("a", F.col("a").alias("doc_id"), "cell", F.lit(False).alias("is_member")).distinct()
-    wanted = members.unionAll(centres)
-    texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("cell", "is_member", "doc_id", "text")
+    wanted = materialize(members.unionAll(centres).select("cell", "is_member", "doc_id"), "wanted", small=True)
+    ids = wanted.select("doc_id").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = docs.join(wanted, "doc_id").select("cell", "is_member", "doc_id", "text")
     dealt = texts.repartition("cell").sortWithinPartitions("cell", "is_member", "doc_id")
     return materialize(dealt.mapInArrow(lean(_verified), "a long, b long"), "links", small=True)
 
 
-PAIRS_AT_ONCE = 4_000_000
-#: A cell compares the pairs of about this many documents of a group; larger groups have several cells.
-CELL = 512
-
-
-def _compared(pairs: np.ndarray, ids: np.ndarray, size: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
-    """Those of the pairs (i * number of documents + j) that their sketches let link."""
-    i, j = (pairs // len(ids)).astype(np.int64), (pairs % len(ids)).astype(np.int64)
+def _compared(i: np.ndarray, j: np.ndarray, size: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Which of the pairs of documents their sketches let link."""
     width = np.array([len(x) for x in sketches])
     least, kept = np.minimum(width[i], width[j]), []
     for w in np.unique(least).tolist():
         of_width = np.flatnonzero(least == w)
-        row = np.full(len(ids), -1)
+        row = np.full(len(width), -1)
         used = np.unique(np.concatenate([i[of_width], j[of_width]]))
         row[used] = np.arange(len(used))
-        table = np.stack([folded(sketches[d], w) for d in used.tolist()])
+        table = np.stack([folded(sketches[d], w) for d in used.tolist()]).view(np.uint64)
         step = max(1, (1 << 23) // w)
         for s in range(0, len(of_width), step):
             part = of_width[s : s + step]
@@ -237,48 +192,35 @@ def _compared(pairs: np.ndarray, ids: np.ndarray, size: np.ndarray, sketches: li
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
+PAIRS_AT_ONCE = 1 << 20
+
+
 def _near(batches):
-    """Pairs that lie in different components and may link, from rows (cell, key, side, share, shares, doc_id, component, n_shingles, sketch).
+    """Pairs that lie in different components and may link, from sorted rows (cell, side, doc_id, component, n_shingles, sketch).
 
-    A cell's rows with a sketch come first, one a document, then those of its groups (key), without. Each distinct
-    pair of a cell is compared once, however many groups it shares; a cell takes its share of the pairs by their hash.
+    side: 2 where a block meets itself, else 0 and 1 for the two blocks that meet.
     """
     for _, rows in runs(batches, "cell"):
-        key, side, share, shares, doc, comp, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side", "share", "shares", "doc_id", "component", "n_shingles"))
-        first = int((side < 0).sum())
-        ids, at = np.unique(doc[:first], return_index=True)
-        sketches = [np.frombuffer(x, np.uint8) for x in rows.column("sketch").take(pa.array(at)).to_pylist()]
-        size, component = n[at], comp[at]
-        local = np.searchsorted(ids, doc)
-        cuts = [first, *(first + 1 + np.flatnonzero(key[first + 1 :] != key[first:-1])).tolist(), len(key)]
-        held, count, done = [], 0, np.zeros(0, np.uint64)
-        for a, b in [*zip(cuts[:-1], cuts[1:]), (None, None)]:
-            if a is not None and b - a > 1:
-                # Blocks of a large group meet other blocks from one side only; a block meets itself once.
-                if side[a] == 2:
-                    i, j = np.triu_indices(b - a, 1)
-                else:
-                    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1), indexing="ij"))
-                i, j = local[a + i], local[a + j]
-                i, j = np.minimum(i, j), np.maximum(i, j)
-                fits = (component[i] != component[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])) & (i != j)
-                pairs = (i[fits] * len(ids) + j[fits]).astype(np.uint64)
-                if shares[a] > 1:
-                    pairs = pairs[mix(pairs) % np.uint64(shares[a]) == np.uint64(share[a])]
-                held.append(pairs)
-                count += len(pairs)
-            if held and (a is None or count > PAIRS_AT_ONCE):
-                fresh = np.setdiff1d(np.concatenate(held), done)
-                done, held, count = np.union1d(done, fresh), [], 0
-                if len(fresh):
-                    kept = fresh[_compared(fresh, ids, size, sketches)]
-                    if len(kept):
-                        yield pa.record_batch([pa.array(ids[(kept // len(ids)).astype(np.int64)]), pa.array(ids[(kept % len(ids)).astype(np.int64)])], schema=PAIR)
+        side, doc, component, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("side", "doc_id", "component", "n_shingles"))
+        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("sketch")]
+        itself = side[0] == 2
+        left, right = (np.arange(len(side)),) * 2 if itself else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+        for s in range(0, len(left), step):
+            i, j = (x.ravel() for x in np.meshgrid(left[s : s + step], right, indexing="ij"))
+            fits = (component[i] != component[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
+            if itself:
+                fits &= i < j
+            i, j = i[fits], j[fits]
+            kept = _compared(i, j, size, sketches) if len(i) else i
+            if len(kept):
+                a, b = doc[i[kept]], doc[j[kept]]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=PAIR)
 
 
 STAR_ROUNDS = 3
-#: Files that hold the ids of copies.
-COPY_SHARDS = 64
+#: Documents behind one file of copies' ids.
+COPY_SHARD = 1 << 20
 
 
 def _saved_ids(path: str):
@@ -391,11 +333,9 @@ def _graded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
 
 def _graded_now(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    path, there = common_signatures(given, "text")
-    release(spark)
-    base = materialize(given.mapInArrow(lean(_sketches(path, there)), SKETCH), "sketches")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = materialize(given.mapInArrow(lean(_sketches), SKETCH), "sketches")
     clashing = _clashing(base)
     if clashing is not None:
         # From here on doc_id is a node: the id, or for ids of several sets a number of each set.
@@ -406,18 +346,21 @@ def _graded_now(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         given = given.unionAll(materialize(texts.join(node, same).select(F.col("node").alias("doc_id"), "text"), "texts"))
     named = base.filter("doc_id IS NOT NULL AND set_hash IS NOT NULL")
     # Equal sets: one representative each. The other documents' ids go to files, so that wide rows need no join.
-    groups = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets")
-    copies = named.select("doc_id", "set_hash").join(groups, "set_hash").filter("doc_id <> rep").select("doc_id")
-    copies = copies.join(groups, F.col("doc_id") == F.col("rep"), "left_anti").select(F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SHARDS)).alias("shard"), "doc_id")
-    there = sorted(r.shard for r in copies.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(lean(_saved_ids(path)), "shard long").collect())
-    release(spark)
-    wanted = named.select("doc_id", "n_shingles", "keys", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SHARDS)).alias("shard"))
-    exploded = wanted.mapInArrow(lean(_exploded(path, there)), "doc_id long, n_shingles long, key long")
+    groups = materialize(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "sets")
+    n_copies = groups.agg(F.sum(F.col("n") - 1)).first()[0] or 0
+    path, shards = fresh_path(docs.sparkSession, "copies"), max(8, -(-n_copies // COPY_SHARD))
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
+    copies = named.select("doc_id", "set_hash").join(groups.filter("n > 1"), "set_hash").filter("doc_id <> rep").select(shard, "doc_id")
+    there = sorted(r.shard for r in copies.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(lean(_saved_ids(path)), "shard long").collect())
+    exploded = named.select("doc_id", "n_shingles", "keys", shard).mapInArrow(lean(_exploded(path, there)), "doc_id long, n_shingles long, key long")
     order = Window.partitionBy("key").orderBy("doc_id")
-    near = exploded.withColumn("_other", F.coalesce(F.lag("doc_id").over(order), F.lead("doc_id").over(order)))
-    shared = materialize(near.filter("_other IS NOT NULL").select("key", "doc_id", "n_shingles"), "shared")
-    del near, exploded
-    release(spark)
+    near = exploded.withColumns({"_before": F.lag("doc_id").over(order), "_after": F.lead("doc_id").over(order)})
+    # Signatures of one document are left out, and rows that repeat one.
+    near = materialize(near.filter("_before <> doc_id OR _before IS NULL AND _after IS NOT NULL").select("key", "doc_id", "n_shingles"), "near")
+    # Near copies share many signatures: of the groups that hold the same documents one is enough.
+    of_key = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"))
+    once = of_key.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    shared = materialize(near.join(once, "key", "left_semi"), "shared")
 
     links, found = None, docs.sparkSession.createDataFrame([], "node long, component long")
     labelled = shared.withColumn("component", F.col("doc_id"))
@@ -426,37 +369,23 @@ def _graded_now(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         if new.isEmpty():
             break
         links = new if links is None else links.unionAll(new)
-        release(spark)
         found = components(links)
         named_rows = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         labelled = materialize(still_open(named_rows.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))), "open")
-    new = None
-    release(spark)
-    # Signature groups that one component does not cover. Groups of one smallest document share cells, so that a pair
-    # that many groups hold is compared once; groups beyond BLOCK are cut into blocks that meet pairwise.
-    whole = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).filter("lo <> hi").select("key", "n", "least")
-    open_rows = labelled.join(whole, "key")
-    block = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1) / BLOCK).cast("int")
-    last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
-    large = open_rows.filter(F.col("n") > BLOCK).withColumn("_block", block).withColumn("_with", F.explode(F.sequence(F.lit(0), last)))
-    side = F.when(F.col("_block") == F.col("_with"), 2).when(F.col("_block") < F.col("_with"), 0).otherwise(1)
-    columns = ["key", "side", "share", "shares", "doc_id", "component", "n_shingles"]
-    large = large.withColumns({"side": side, "share": F.lit(0), "shares": F.lit(1)}).select(F.xxhash64("key", F.least("_block", "_with"), F.greatest("_block", "_with")).alias("cell"), *columns)
-    shares = F.ceil(F.col("n") / CELL).cast("int")
-    few = open_rows.filter(F.col("n") <= BLOCK).withColumns({"side": F.lit(2), "shares": shares}).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    cells = large.unionAll(few.select(F.xxhash64("least", "share", "shares").alias("cell"), *columns))
-    members = cells.select("cell", "doc_id", "component", "n_shingles").distinct().join(named.select("doc_id", "sketch"), "doc_id")
-    heads = members.select("cell", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("side"), F.lit(0).alias("share"), F.lit(1).alias("shares"), "doc_id", "component", "n_shingles", "sketch")
-    placed = heads.unionAll(cells.withColumn("sketch", F.lit(None).cast("binary"))).repartition("cell").sortWithinPartitions("cell", F.col("side") >= 0, "key", "doc_id")
+    # Signature groups that one component does not cover; groups beyond BLOCK are cut into blocks that meet pairwise.
+    whole = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = labelled.join(whole.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1)
+    cells = rows.select(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("cell"), side.alias("side"), "doc_id", "component", "n_shingles")
+    used = cells.select("doc_id").distinct()
+    placed = cells.join(named.select("doc_id", "sketch").join(used, "doc_id", "left_semi"), "doc_id").repartition("cell").sortWithinPartitions("cell", "side", "doc_id")
     candidates = materialize(placed.mapInArrow(lean(_near), "a long, b long").distinct(), "candidates", small=True)
     if not candidates.isEmpty():
-        del placed, heads, members, cells
-        release(spark)
         late = verify(candidates, given)
         found = components(late if links is None else links.unionAll(late))
 
-    del labelled
-    release(spark)
     of_set = groups.join(found, groups["rep"] == found["node"], "left").select(F.col("set_hash").alias("_set"), F.coalesce("component", "rep").alias("_component"))
     if clashing is None:
         base = base.withColumn("id", F.col("doc_id"))

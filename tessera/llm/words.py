@@ -1,7 +1,8 @@
 """Vectorised hashes of words, for whole Arrow batches of texts.
 
-A word is a run of bytes other than 20 and 09 to 0D, with A-Z lower-cased. Its 64-bit hash is a polynomial over its
-bytes, mixed; equal words always have equal hashes, on every machine.
+A word is a run of bytes other than 20 and 09 to 0D, with A-Z lower-cased. Its 64-bit hash mixes each eight bytes with
+their place, adds them up and mixes the sum with the length; equal words always have equal hashes, on every machine.
+Nothing in it is a polynomial over bytes, so long words of a regular build do not collide on purpose.
 """
 
 from __future__ import annotations
@@ -12,14 +13,13 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20  # bytes of text hashed at once; bounds memory only
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = np.arange(1, 257, dtype=np.uint64)
-_VALUE[65:91] += np.uint64(32)
-_VALUE[SPACE] = 0
-_tables: list[np.ndarray] = []
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_PLACE, _LENGTH, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,31 +29,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or len(_tables[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        size = max(n, CHUNK)
-        factors = np.full((2, size), [[_BASE & _MASK], [inverse]], np.uint64)
-        factors[:, 0] = 1
-        _tables[:] = np.multiply.accumulate(factors, axis=1)
-    return _tables[0], _tables[1]
+def word_bounds(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of one run of bytes begin and end; starts_at: offsets at which a text begins."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[0] = edge[-1] = True
+    edge[1:-1] = space[:-1]
+    edge[starts_at[starts_at < len(data)]] = True
+    starts = np.flatnonzero(edge[:-1] & ~space)
+    edge[1:-1] = space[1:]
+    edge[starts_at[(starts_at > 0) & (starts_at < len(data))]] = True
+    return starts, np.flatnonzero(edge[1:] & ~space) + 1
 
 
 def _hash(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of one run of bytes, and where each word starts; starts_at: offsets at which a text begins."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = SPACE[data]
-    first = np.empty(len(data), bool)
-    first[0] = True
-    first[1:] = space[:-1]
-    first[starts_at[starts_at < len(data)]] = True
-    starts = np.flatnonzero(first & ~space)
+    starts, ends = word_bounds(data, starts_at)
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    power, inverse = _powers(len(data))
-    total = np.add.reduceat(_VALUE[data] * power[: len(data)], starts)
-    return mix(total * inverse[starts]), starts
+    low = np.zeros(len(data) + 8, np.uint8)
+    LOWER.take(data, out=low[: len(data)])
+    eight = np.ndarray((len(data) + 1,), np.uint64, low.data, strides=(1,))
+    size = ends - starts
+    value = mix((eight[starts] & _FIRST[np.minimum(size, 8)]) ^ _SEED)
+    total = mix(value + _PLACE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] - 1) >> 3  # further groups of eight bytes
+        first = n.cumsum() - n
+        group = np.arange(n.sum()) - np.repeat(first, n) + 1
+        rest = np.repeat(size[long], n) - 8 * group
+        value = mix((eight[np.repeat(starts[long], n) + 8 * group] & _FIRST[np.minimum(rest, 8)]) ^ _SEED)
+        total[long] += np.add.reduceat(mix(value + (group + 1).astype(np.uint64) * _PLACE), first)
+    return mix(total + size.astype(np.uint64) * _LENGTH), starts
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -75,8 +75,10 @@ def test_blocks_and_chunks_change_nothing(spark, monkeypatch):
     rows = list(enumerate(corpus(3, 150)))
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "CHUNK", 2)
-    monkeypatch.setattr(jaccard, "COMMON", 1)
-    monkeypatch.setattr(jaccard, "KEY_SHARD", 500)
+    monkeypatch.setattr(jaccard, "COPY_SHARD", 1)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
@@ -103,9 +105,6 @@ def test_linked_sets_share_a_signature():
             b = np.concatenate([a[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)])
             a, b = np.unique(a), np.unique(b)
             assert set(jaccard.signatures(a)) & set(jaccard.signatures(b))
-            some = np.concatenate([*jaccard.segment_keys(a), *jaccard.segment_keys(b)])
-            common = np.unique((rng.choice(some, len(some) // 2) >> np.uint64(32)).astype(np.uint32))
-            assert set(jaccard.signatures(a, common)) & set(jaccard.signatures(b, common))
             x, y = jaccard.parity_sketch(a), jaccard.parity_sketch(b)
             size = min(len(x), len(y))
             apart = int(np.bitwise_count(jaccard.folded(x, size) ^ jaccard.folded(y, size)).sum())
@@ -139,3 +138,30 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(301)}, 900: 900, 901: 900, 905: 900}
     assert components(links.limit(0)).count() == 0
+
+
+def test_bands_hold_the_partners_of_their_sets():
+    for n in [*range(1, 400), 5000, 12345, 10**7]:
+        own = jaccard.bisect_right(jaccard.EDGES, n) - 1
+        assert jaccard.EDGES[own] <= n < jaccard.EDGES[own + 1] and 5 * n // 4 < jaccard.EDGES[own + 2]
+
+
+def test_signatures_are_of_segments_at_every_size():
+    """A quarter of the hashes in keys, each over several hashes."""
+    rng = np.random.default_rng(2)
+    for n in (60, 100, 400, 1000, 5000):
+        found = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert len(jaccard.signatures(found)) <= 0.5 * n + 2
+        for k, keys, weight in jaccard.segment_keys(found):
+            heaviest = np.sort(weight)[::-1][: k + 1]
+            assert len(keys) > k and heaviest.mean() > 2.5 and (heaviest >= 2).mean() > 0.9
+
+
+def test_words_of_a_regular_build_do_not_collide(spark):
+    """Thue-Morse words are equal under every polynomial modulo a power of two."""
+    a, b = "x", "y"
+    for _ in range(11):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.classes(df).collect()) == [(1, 1), (2, 2), (3, 1)]
+    assert len({tuple(h.tolist()) for *_, h, _ in (next(word_hashes(pa.array([t]))) for t in (a, b))}) == 2
