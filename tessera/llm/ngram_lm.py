@@ -1,9 +1,10 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, scored from memory maps.
+"""Interpolated modified Kneser-Ney model of any order: counted in Spark, stored as sorted hash arrays, scored from memory maps.
 
-Counting combines each task's bigrams, deals them by their first word's hash to shards, and merges every shard once;
-a shard's continuation counts are dealt on by the second word. Each merge writes one file into the shared folder:
-sorted 64-bit hashes with counts beside them. Scoring workers map the files of a shared file system in place
-(others are fetched, mapped and unlinked) and look up each batch's distinct bigrams in sorted order, so memory
+Words are counted first; a word's number is its place in the sorted vocabulary files, so n-grams are exact rows of
+numbers. N-grams are combined in the task and dealt by the hash of the whole n-gram, which spreads the n-grams of a
+frequent context evenly. The merge of a level writes one file a shard (sorted hashes with counts) and sends on, combined
+again, the sums of each context and a count for each suffix, dealt by their own hashes: they make the next lower
+level. Scoring workers map the files in place and look up each batch's distinct n-grams in sorted order, so memory
 holds a batch, never the model.
 """
 
@@ -11,19 +12,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.files import load, runs, save
-from tessera.llm.shared import fresh_path
+from tessera.llm.shared import drop_path, fresh_path, lean, materialize, small_batches
 from tessera.llm.words import mix, word_hashes
 
-#: Hashes of the beginning, which is only ever a context, and of the end, which is a token.
-BEGIN, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
+ORDER = 3
+#: Hash of the end, which is a token.
+END = np.uint64(0x5BE0CD19137E2179)
 #: Text bytes behind one shard, and events that a task combines at once.
-SHARD_BYTES, COMBINE = 24 << 20, 3_000_000
-MAX_SHARDS = 1 << 15
-_TOP, _FACTOR = np.uint64(0xFFFF << 48), np.uint64(0xA0761D6478BD642F)
+SHARD_BYTES, COMBINE = 16 << 20, 3_000_000
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def held_out(id_col: str) -> Column:
@@ -31,198 +34,324 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A bigram's hash; its top 16 bits are the context's, so that shards by context are runs of keys."""
-    return (first & _TOP) | (mix(first + second * _FACTOR) >> np.uint64(16))
+def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams given as one array of word numbers a place."""
+    key = mix(columns[0].astype(np.uint64) + _B)
+    for c in columns[1:]:
+        key = mix(key * _A + c.astype(np.uint64) + _B)
+    return key
 
 
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each hash, ascending with its top 16 bits."""
-    return ((hashes >> np.uint64(48)) * np.uint64(shards)) >> np.uint64(16)
+def shard_of(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each hash and its place within the shard (64 bits); both rise with the hash."""
+    n = np.uint64(shards)
+    low = (keys & _LOW) * n
+    high = (keys >> np.uint64(32)) * n + (low >> np.uint64(32))
+    return high >> np.uint64(32), (high << np.uint64(32)) | (low & _LOW)
 
 
-def events(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and tokens of documents one after another; ends: after how many words each ends."""
-    begins = np.concatenate([[0], ends[:-1]])
-    return np.insert(hashes, begins, BEGIN), np.insert(hashes, ends, END)
+# Blobs: columns of equal length, the first as differences, byte planes compressed.
+BLOB = pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("body", pa.binary())])
+BLOB_DDL = "shard long, kind string, body binary"
+STATS_DDL = "kind string, shard long, numbers array<long>"
 
 
-def combined(first: np.ndarray, second: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Distinct bigrams in the order of their keys: keys, first, second, counts."""
-    key = pair_key(first, second)
-    order = np.argsort(key, kind="stable")
-    key, first, second = key[order], first[order], second[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(key) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    total = np.diff(np.concatenate([at, [len(key)]])) if counts is None else np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
-    return key[at], first[at], second[at], total.astype(np.int64)
+def _packed(columns: list[np.ndarray]) -> bytes:
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
+    return np.int64(len(columns[0])).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-BLOB = pa.schema([("shard", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary()), ("m", pa.binary())])
-BLOB_DDL = "shard long, a binary, b binary, n binary, m binary"
-STATS_DDL = "kind string, shard long, n long, total long, n1 long, n2 long, n3 long, n4 long"
+def _unpacked(body: bytes, kinds: list) -> list[np.ndarray]:
+    n, at, out = int(np.frombuffer(body[:8], np.int64)[0]), 0, []
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[8:]), np.uint8)
+    for kind in map(np.dtype, kinds):
+        size = n * kind.itemsize
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += size
+    return [out[0].cumsum(dtype=out[0].dtype), *out[1:]]
 
 
-def _counted(shards: int):
-    def flush(first: list, second: list):
-        _, a, b, n = combined(np.concatenate(first), np.concatenate(second))
-        shard = shard_of(a, shards)
-        cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(a)]]) if len(a) else [0]
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            yield pa.RecordBatch.from_pylist([{"shard": int(shard[i]), "a": a[i:j].tobytes(), "b": b[i:j].tobytes(), "n": n[i:j].astype(np.uint32).tobytes(), "m": b""}], schema=BLOB)
+def _blobs(kind: str, keys: np.ndarray, columns: list[np.ndarray], n_ids: int, shards: int):
+    """A blob of each shard's rows; keys ascend. Within a blob rows are sorted by their first two numbers, which compresses well."""
+    shard, _ = shard_of(keys, shards)
+    cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else [0]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        part = [c[i:j] for c in columns]
+        first = part[0].astype(np.uint64)
+        order = np.argsort((first << np.uint64(32)) | (part[1].astype(np.uint64) & _LOW) if n_ids > 1 else first)
+        yield pa.RecordBatch.from_pylist([{"shard": int(shard[i]), "kind": kind, "body": _packed([c[order] for c in part])}], schema=BLOB)
+
+
+def _summed(keys: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys ascending, a row of columns each, and the sums of counts."""
+    if not len(keys):
+        return keys, columns, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(c[order], at) for c in counts]
+
+
+def _small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in a byte each; 255 stands for a larger one, kept with its position."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), large.astype(np.int64), counts[large].astype(np.int64)
+
+
+def _full(small: np.ndarray, large: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = small[at].astype(np.int64)
+    top = np.flatnonzero(out == 255)
+    if len(top):
+        out[top] = value[np.searchsorted(large, at[top])]
+    return out
+
+
+def _word_counts(shards: int):
+    """Words and their counts, combined in the task."""
+
+    def flush(held: list):
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        yield from _blobs("word", words, [words, n.astype(np.uint64)], 1, shards)
 
     def run(batches):
-        first, second, held = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for _, _, hashes, ends in word_hashes(batch.column(0)):
-                a, b = events(hashes, ends)
-                first.append(a)
-                second.append(b)
-                held += len(a)
-                if held >= COMBINE:
-                    yield from flush(first, second)
-                    first, second, held = [], [], 0
-        if held:
-            yield from flush(first, second)
+                held += [hashes, np.full(len(ends), END)]
+                size += len(hashes) + len(ends)
+                if size >= COMBINE:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
 
     return run
 
 
-def _arrays(rows: pa.RecordBatch, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column(column).to_pylist()), kind)
+def _vocabulary(path: str):
+    """Per shard the sorted words with their counts in a file."""
 
+    def run(batches):
+        for shard, rows in runs(batches, "shard"):
+            found = [_unpacked(b, [np.uint64, np.uint64]) for b in rows.column("body").to_pylist()]
+            words, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            words, _, (n,) = _summed(words, [], [n])
+            save(f"{path}/0-{shard}", [words, *_small(n)])
+            yield pa.RecordBatch.from_pylist([{"kind": "0", "shard": int(shard), "numbers": [len(words), int(n.sum())]}], schema=STATS)
+
+    return run
 
-def _small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts in a byte each; 255 stands for a larger one, kept with its position."""
-    large = np.flatnonzero(counts >= 255)
-    return np.minimum(counts, 255).astype(np.uint8), large.astype(np.int64), counts[large].astype(np.int64)
 
+STATS = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("numbers", pa.list_(pa.int64()))])
+
+
+class Words:
+    """Numbers and counts of words, from the vocabulary files. The beginning's number and that of unknown words follow the last."""
+
+    def __init__(self, about: dict) -> None:
+        self.about, self.begin, self.unknown = about, about["words"], about["words"] + 1
+        self.kind = np.uint32 if self.unknown < 1 << 32 else np.uint64
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, of_word = np.unique(hashes, return_inverse=True)
+        ids, counts = np.full(len(words), self.unknown, self.kind), np.zeros(len(words), np.int64)
+        for shard, part in _parts(shard_of(words, self.about["shards"])[0]):
+            if shard in self.about["bases"]:
+                known, *n = load(f"{self.about['path']}/0-{shard}")
+                at = np.minimum(np.searchsorted(known, words[part]), len(known) - 1)
+                hit = known[at] == words[part]
+                ids[part] = np.where(hit, at + self.about["bases"][shard], self.unknown)
+                counts[part] = np.where(hit, _full(*n, at), 0)
+        return ids[of_word], counts[of_word]
+
+    def padded(self, ids: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents one after another, order - 1 beginnings before each, and where their tokens stand. ids: with ends already."""
+        size = np.diff(ends, prepend=0)
+        at = np.arange(len(ids)) + (order - 1) * np.repeat(np.arange(1, len(ends) + 1), size)
+        out = np.full(len(ids) + (order - 1) * len(ends), self.begin, self.kind)
+        out[at] = ids
+        return out, at
+
+
+def _parts(shard: np.ndarray):
+    """(shard, slice) of an ascending array of shards."""
+    cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else [0]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        yield int(shard[i]), slice(i, j)
+
+
+def with_ends(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of documents with an end after each, and after how many tokens each ends."""
+    return np.insert(hashes, ends, END), ends + np.arange(1, len(ends) + 1)
+
+
+def _counted(about: dict):
+    order, shards = about["order"], about["shards"]
+
+    def flush(held: list):
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        keys, columns, (n,) = _summed(gram_key(columns), columns, [np.ones(len(columns[0]), np.int64)])
+        yield from _blobs("gram", keys, [*columns, n.astype(np.uint32)], order, shards)
 
-def _merged_bigrams(path: str, shards: int):
     def run(batches):
-        for shard, rows in runs(batches, "shard"):
-            key, a, b, n = combined(_arrays(rows, "a", np.uint64), _arrays(rows, "b", np.uint64), _arrays(rows, "n", np.uint32).astype(np.int64))
-            by_context = np.argsort(a, kind="stable")
-            context, start = np.unique(a[by_context], return_index=True)
-            sums = lambda x: np.add.reduceat(x[by_context].astype(np.int64), start)
-            small, large, value = _small(n)
-            save(f"{path}/bigrams-{shard}", [key, small, large, value, context, sums(n).astype(np.uint32) if n.sum() < 1 << 32 else sums(n), sums(n == 1).astype(np.uint32), sums(n == 2).astype(np.uint32), sums(n > 2).astype(np.uint32)])
-            seen = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_pylist([{"shard": -1 - shard, "a": np.array([len(n), n.sum(), *seen], np.int64).tobytes(), "b": b"", "n": b"", "m": b""}], schema=BLOB)
-            order = np.argsort(b, kind="stable")
-            word, begin = np.unique(b[order], return_index=True)
-            tokens = np.add.reduceat(n[order], begin)
-            contexts = np.diff(np.concatenate([begin, [len(b)]]))
-            target = shard_of(word, shards)
-            cuts = np.concatenate([[0], np.flatnonzero(target[1:] != target[:-1]) + 1, [len(word)]])
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                yield pa.RecordBatch.from_pylist([{"shard": int(target[i]), "a": word[i:j].tobytes(), "b": b"", "n": contexts[i:j].astype(np.uint32).tobytes(), "m": tokens[i:j].astype(np.uint64).tobytes()}], schema=BLOB)
+        words, held, size = Words(about), [], 0
+        for batch in batches:
+            for _, _, hashes, ends in word_hashes(batch.column(0)):
+                tokens, ends = with_ends(hashes, ends)
+                padded, at = words.padded(words.look_up(tokens)[0], ends, order)
+                held.append([padded[at - k] for k in reversed(range(order))])
+                size += len(at)
+                if size >= COMBINE:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
 
     return run
 
 
-def _merged_words(path: str):
-    schema = pa.schema([("kind", pa.string()), *[(k, pa.int64()) for k in ("shard", "n", "total", "n1", "n2", "n3", "n4")]])
+def _merged(about: dict, level: int):
+    """Per shard of `level`-grams: their counts and the sums of their continuations to a file; contexts and suffixes of theirs sent on."""
+    path, shards, order = about["path"], about["shards"], about["order"]
+    number = np.uint32 if about["words"] + 1 < 1 << 32 else np.uint64
+    ids = [number] * level
+
+    def gathered(rows: pa.RecordBatch, kind: str, n_counts: int):
+        kinds = [*ids, *[np.uint32 if kind == "gram" else np.uint64] * n_counts]
+        found = [_unpacked(b, kinds) for k, b in zip(rows.column("kind").to_pylist(), rows.column("body").to_pylist()) if k == kind]
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in kinds]
+        grams, counts = columns[:level], [c.astype(np.int64) for c in columns[level:]]
+        return _summed(gram_key(grams), grams, counts)
 
     def run(batches):
         for shard, rows in runs(batches, "shard"):
             if shard < 0:
-                kind, found = "bigrams", _arrays(rows, "a", np.int64).tolist()
-            else:
-                raw = _arrays(rows, "a", np.uint64)
-                order = np.argsort(raw, kind="stable")
-                word, start = np.unique(raw[order], return_index=True)
-                contexts = np.add.reduceat(_arrays(rows, "n", np.uint32).astype(np.int64)[order], start)
-                tokens = np.add.reduceat(_arrays(rows, "m", np.uint64).astype(np.int64)[order], start)
-                save(f"{path}/words-{shard}", [word, *_small(contexts), *_small(tokens)])
-                kind, found = "words", [len(word), int(tokens.sum()), *[int((contexts == k).sum()) for k in (1, 2, 3, 4)]]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, [kind, -1 - shard if shard < 0 else shard, *found], strict=True))], schema=schema)
+                yield rows.select(BLOB.names)
+                continue
+            keys, grams, (n,) = gathered(rows, "gram", 1)
+            everything, stats = keys, []
+            if level < order:
+                contexts, _, stats = gathered(rows, "context", 4)
+                everything = np.union1d(keys, contexts)
+                stats = [_placed(everything, contexts, s) for s in stats]
+            _, place = shard_of(everything, shards)
+            arrays = [_small(x) for x in (_placed(everything, keys, n), *stats)]
+            save(f"{path}/{level}-{shard}", [(place >> np.uint64(32)).astype(np.uint32), (place >> np.uint64(16)).astype(np.uint16), *(a for three in arrays for a in three)])
+            seen = np.array([level, shard, len(n), n.sum(), *((n == k).sum() for k in (1, 2, 3, 4))], np.int64)
+            yield pa.RecordBatch.from_pylist([{"shard": -1 - int(shard), "kind": "stat", "body": seen.tobytes()}], schema=BLOB)
+            if level > 1 and len(keys):
+                head, tail = grams[:-1], grams[1:]
+                found, columns, sums = _summed(gram_key(head), head, [n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)])
+                yield from _blobs("context", found, [*columns, *(s.astype(np.uint64) for s in sums)], level - 1, shards)
+                found, columns, (sums,) = _summed(gram_key(tail), tail, [np.ones(len(n), np.int64)])
+                yield from _blobs("gram", found, [*columns, sums.astype(np.uint32)], level - 1, shards)
 
     return run
 
 
+def _placed(everything: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(everything), np.int64)
+    out[np.searchsorted(everything, keys)] = values
+    return out
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more; where a class is empty, 0.5 each."""
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more.
+
+    Where a class is empty, which happens to tiny corpora only, its formula has no value: the discount is 0.5 then; and it
+    is kept between 0.05 and the count, so that every probability stays above zero.
+    """
     y = n1 / (n1 + 2 * n2) if n1 else 0.5
     d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.5, 3 - 4 * y * n4 / n3 if n3 else 0.5]
     return np.array([0.0, *[min(max(x, 0.05), k) for k, x in enumerate(d, 1)]])
 
 
-def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> dict:
+def train(docs: DataFrame, text_col: str = "text", path: str | None = None, order: int = ORDER) -> dict:
     """Count the texts of docs and write the model's files below path; returns what scoring needs besides them."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     path = path or fresh_path(spark, "lm")
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    shards = min(MAX_SHARDS, max(1, -(-size // SHARD_BYTES)))
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_counted(shards), BLOB_DDL)
-    dealt = counted.repartition(shards, "shard").sortWithinPartitions("shard")
-    again = dealt.mapInArrow(_merged_bigrams(path, shards), BLOB_DDL).repartition(shards, "shard").sortWithinPartitions("shard")
-    stats = again.mapInArrow(_merged_words(path), STATS_DDL).collect()  # two rows a shard
-    sums = lambda kind: [sum(r[k] for r in stats if r["kind"] == kind) for k in ("n", "total", "n1", "n2", "n3", "n4")]
-    (pairs, tokens, *of_pairs), (words, _, *of_words) = sums("bigrams"), sums("words")
-    return {"path": path, "shards": shards, "bigram_files": sorted(r["shard"] for r in stats if r["kind"] == "bigrams"), "word_files": sorted(r["shard"] for r in stats if r["kind"] == "words"), "pairs": pairs, "tokens": tokens, "words": words, "of_pairs": of_pairs, "of_words": of_words}
-
-
-def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(sorted_keys, wanted), max(0, len(sorted_keys) - 1))
-    return at, sorted_keys[at] == wanted if len(sorted_keys) else np.zeros(len(wanted), bool)
-
-
-def _full(small: np.ndarray, large: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = small[at].astype(np.int64)
-    top = np.flatnonzero(out == 255)
-    if len(top):
-        out[top] = value[np.searchsorted(large, at[top])]
-    return out
+    texts = docs.select(F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    dealt = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard")
+    with small_batches(spark):
+        counted = dealt(texts.mapInArrow(lean(_word_counts(shards)), BLOB_DDL)).mapInArrow(lean(_vocabulary(path)), STATS_DDL)
+        rows = sorted((r["shard"], *r["numbers"]) for r in counted.collect())  # a row a shard
+        bases, words = {}, 0
+        for shard, n, _ in rows:
+            bases[shard] = words
+            words += n
+        about = {"path": path, "shards": shards, "order": order, "bases": bases, "words": words, "tokens": sum(r[2] for r in rows)}
+        blobs = texts.mapInArrow(lean(_counted(about)), BLOB_DDL)
+        for level in range(order, 0, -1):
+            blobs = dealt(blobs).mapInArrow(lean(_merged(about, level)), BLOB_DDL)
+        stats = [np.frombuffer(r["body"], np.int64).tolist() for r in blobs.collect()]  # a row a level and shard
+    about["files"] = sorted((s[0], s[1]) for s in stats)
+    about["levels"] = {level: [sum(s[k] for s in stats if s[0] == level) for k in range(2, 8)] for level in range(1, order + 1)}
+    return about
 
 
 class Model:
     """Looks up distinct, sorted hashes in the shards' files."""
 
     def __init__(self, about: dict) -> None:
-        self.about = about
-        self.d, self.e = discounts(*about["of_pairs"]), discounts(*about["of_words"])
-        t1, t2 = about["of_words"][:2]
-        self.back = float(self.e[1] * t1 + self.e[2] * t2 + self.e[3] * (about["words"] - t1 - t2))
-
-    def _by_shard(self, hashes: np.ndarray, kind: str):
-        cuts = np.searchsorted(shard_of(hashes, self.about["shards"]), np.arange(self.about["shards"] + 1))
-        there = set(self.about[kind])
-        for shard in np.flatnonzero(np.diff(cuts)).tolist():
-            if shard in there:
-                yield slice(cuts[shard], cuts[shard + 1]), load(f"{self.about['path']}/{kind.split("_")[0]}s-{shard}")
-
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token counts, and the probability at the lowest order."""
-        tokens, contexts = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        for part, (word, c0, c1, c2, t0, t1, t2) in self._by_shard(hashes, "word_files"):
-            at, hit = _find(word, hashes[part])
-            tokens[part] = np.where(hit, _full(t0, t1, t2, at), 0)
-            contexts[part] = np.where(hit, _full(c0, c1, c2, at), 0)
-        uniform = 1 / (self.about["words"] + 1)
-        if not self.about["pairs"]:
-            return tokens, np.full(len(hashes), uniform)
-        return tokens, (contexts - self.e[np.minimum(contexts, 3)] + self.back * uniform) / self.about["pairs"]
-
-    def score(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each event, and its token's count in training."""
-        word, of_word = np.unique(second, return_inverse=True)
-        tokens, low = self.words(word)
-        low = low[of_word]
-        context, of_context = np.unique(first, return_inverse=True)
-        total, weight = np.zeros(len(context)), np.ones(len(context))
-        key, of_key = np.unique(pair_key(first, second), return_inverse=True)
-        count = np.zeros(len(key), np.int64)
-        for part, (_, _, _, _, known, n, n1, n2, n3) in self._by_shard(context, "bigram_files"):
-            at, hit = _find(known, context[part])
-            total[part] = np.where(hit, n[at], 0)
-            weight[part] = np.where(hit, self.d[1] * n1[at] + self.d[2] * n2[at] + self.d[3] * n3[at], 1.0)
-        for part, (keys, small, large, value, *_) in self._by_shard(key, "bigram_files"):
-            at, hit = _find(keys, key[part])
-            count[part] = np.where(hit, _full(small, large, value, at), 0)
-        n, t, w = count[of_key], total[of_context], weight[of_context]
-        p = np.where(t > 0, (n - self.d[np.minimum(n, 3)] + w * low) / np.maximum(t, 1), low)
-        return np.log10(p), tokens[of_word]
+        self.about, self.words, self.files = about, Words(about), {tuple(f) for f in about["files"]}
+        self.d = {level: discounts(*numbers[2:]) for level, numbers in about["levels"].items()}
+
+    def look_up(self, level: int, keys: np.ndarray) -> list[np.ndarray]:
+        """Counts of n-grams, and below the highest order the total and the classes of what follows them."""
+        order = np.argsort(keys)
+        of_sorted = keys[order]
+        head = np.concatenate([[True], of_sorted[1:] != of_sorted[:-1]])
+        distinct = of_sorted[head]
+        shard, place = shard_of(distinct, self.about["shards"])
+        out = [np.zeros(len(distinct), np.int64) for _ in range(1 if level == self.about["order"] else 5)]
+        for k, part in _parts(shard):
+            if (level, k) not in self.files:
+                continue
+            high, low, *arrays = load(f"{self.about['path']}/{level}-{k}")
+            wanted, rest = (place[part] >> np.uint64(32)).astype(np.uint32), (place[part] >> np.uint64(16)).astype(np.uint16)
+            at = np.minimum(np.searchsorted(high, wanted), len(high) - 1)
+            while True:  # the few that share the upper half stand next to each other
+                on = np.flatnonzero((high[at] == wanted) & (low[at] != rest) & (at + 1 < len(high)))
+                on = on[high[np.minimum(at[on] + 1, len(high) - 1)] == wanted[on]]
+                if not len(on):
+                    break
+                at[on] += 1
+            hit = np.flatnonzero((high[at] == wanted) & (low[at] == rest))
+            for i, o in enumerate(out):
+                o[part][hit] = _full(*arrays[3 * i : 3 * i + 3], at[hit])
+        back = np.empty(len(keys), np.int64)
+        back[order] = head.cumsum() - 1
+        return [o[back] for o in out]
+
+    def score(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of padded documents."""
+        order, words = self.about["order"], self.about["words"]
+        uniform = 1 / (words + 1)
+        if not words:
+            return np.full(len(at), np.log10(uniform))
+        types, total, t1, t2, *_ = self.about["levels"][1]
+        d = self.d[1]
+        back = float(d[1] * t1 + d[2] * t2 + d[3] * (types - t1 - t2))
+        key, lower = None, None
+        for level in range(1, order + 1):
+            here = at if level == order else np.arange(level - 1, len(padded))
+            key = gram_key([padded[here - k] for k in reversed(range(level))])
+            found = self.look_up(level, key)
+            n = found[0] if level == order else found[0][at - level + 1]
+            if level == 1:
+                p = (n - d[np.minimum(n, 3)] + back * uniform) / total
+            else:
+                total, *classes = (x[at - 1 - (level - 2)] for x in lower)
+                d = self.d[level]
+                weight = d[1] * classes[0] + d[2] * classes[1] + d[3] * classes[2]
+                p = np.where(total > 0, (n - d[np.minimum(n, 3)] + weight * p) / np.maximum(total, 1), p)
+            lower = found[1:]
+        return np.log10(p)
 
 
 def _scored(about: dict):
@@ -232,14 +361,14 @@ def _scored(about: dict):
         model, n, v = Model(about), about["tokens"], about["words"]
         for batch in batches:
             for i, j, hashes, ends in word_hashes(batch.column(2)):
-                first, second = events(hashes, ends)
-                logs, counts = model.score(first, second)
+                tokens, ends = with_ends(hashes, ends)
+                ids, counts = model.words.look_up(tokens)
+                logs = model.score(*model.words.padded(ids, ends, about["order"]))
                 base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-                starts = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1))[:-1]])
+                starts = np.concatenate([[0], ends[:-1]])
                 sums = lambda x: np.add.reduceat(x, starts)
-                sizes = np.diff(np.concatenate([starts, [len(first)]]))
                 some = batch.slice(i, j - i)
-                yield pa.record_batch([some.column(0), some.column(1), pa.array(sizes), pa.array(sums((counts > 0).astype(np.int64))), pa.array(np.full(j - i, n, np.int64)), pa.array(sums(base)), pa.array(sums(logs))], schema=schema)
+                yield pa.record_batch([some.column(0), some.column(1), pa.array(np.diff(ends, prepend=0)), pa.array(sums((counts > 0).astype(np.int64))), pa.array(np.full(j - i, n, np.int64)), pa.array(sums(base)), pa.array(sums(logs))], schema=schema)
 
     return run
 
@@ -251,11 +380,16 @@ def score(docs: DataFrame, about: dict, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigrams) and score of every row.
 
     A null text is empty: its only token is the end. An untrained model gives every token the uniform probability.
+    Words count as equal by 64-bit hashes; n-grams are told apart by 48 bits within their shard.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scored(about), SCORED_DDL)
+    with small_batches(docs.sparkSession):
+        return materialize(rows.mapInArrow(lean(_scored(about)), SCORED_DDL), "scored")
 
 
-def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """score() of all rows of docs by a model of those that are not held out. Other columns are ignored; an empty table gives no rows."""
-    return score(docs, train(docs.filter(~held_out(id_col)), text_col), id_col, text_col)
+    about = train(docs.filter(~held_out(id_col)), text_col, order=order)
+    out = score(docs, about, id_col, text_col)
+    drop_path(docs.sparkSession, about["path"])
+    return out

@@ -19,39 +19,37 @@ def tokens(text):
 
 
 class Plain:
-    """Modified Kneser-Ney from its definition."""
-
-    def __init__(self, texts):
-        self.uni, self.bi = Counter(), Counter()
-        for t in map(tokens, texts):
-            self.uni.update(t)
-            self.bi.update(zip(["<begin>", *t], t))
-        self.after = defaultdict(Counter)
-        self.before = Counter()
-        for (a, b), n in self.bi.items():
-            self.after[a][b] = n
-            self.before[b] += 1
+    """Modified Kneser-Ney from its definition, by recursion over the orders."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.uni = Counter(x for t in texts for x in tokens(t))
         self.n, self.v = sum(self.uni.values()), len(self.uni)
-        self.d = ngram_lm.discounts(*[sum(c == k for c in self.bi.values()) for k in (1, 2, 3, 4)])
-        self.e = ngram_lm.discounts(*[sum(c == k for c in self.before.values()) for k in (1, 2, 3, 4)])
-
-    def low(self, b):
-        if not self.bi:
-            return 1.0
-        c = self.before[b]
-        back = sum(self.e[min(x, 3)] for x in self.before.values())
-        return (c - self.e[min(c, 3)] + back / (self.v + 1)) / len(self.bi)
-
-    def p(self, a, b):
-        row = self.after.get(a)
+        self.counts = {order: Counter(g for t in texts for g in self.grams(t))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.after = {k: defaultdict(list) for k in self.counts}
+        for k, table in self.counts.items():
+            for g, n in table.items():
+                self.after[k][g[:-1]].append(n)
+        self.d = {k: ngram_lm.discounts(*[sum(c == x for c in table.values()) for x in (1, 2, 3, 4)]) for k, table in self.counts.items()}
+
+    def grams(self, text):
+        t = ["<begin>"] * (self.order - 1) + tokens(text)
+        return [tuple(t[i : i + self.order]) for i in range(len(t) - self.order + 1)]
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (self.v + 1)
+        row = self.after[k].get(gram[:-1])
         if not row:
-            return self.low(b)
-        c = row.get(b, 0)
-        return (c - self.d[min(c, 3)] + sum(self.d[min(x, 3)] for x in row.values()) * self.low(b)) / sum(row.values())
+            return self.p(gram[1:])
+        c, d = self.counts[k].get(gram, 0), self.d[k]
+        return (c - d[min(c, 3)] + sum(d[min(x, 3)] for x in row) * self.p(gram[1:])) / sum(row)
 
     def score(self, text):
-        t = tokens(text)
-        return sum(math.log10(self.p(a, b)) for a, b in zip(["<begin>", *t], t))
+        return sum(math.log10(self.p(g)) for g in self.grams(text))
 
     def base(self, text):
         return sum(math.log10((self.uni[b] + 0.1) / (self.n + 0.1 * (self.v + 1))) for b in tokens(text))
@@ -64,14 +62,15 @@ def corpus():
     return [*rows, (500, None), (501, " \n"), (502, rows[5][1].upper()), (503, "hot word " * 1500), (None, "x y")]
 
 
-@pytest.mark.parametrize("size", [24 << 20, 300])
-def test_scores_equal_the_definition(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "order"), [(24 << 20, 3), (300, 2), (300, 3), (9000, 4)])
+def test_scores_equal_the_definition(spark, monkeypatch, size, order):
     monkeypatch.setattr(ngram_lm, "SHARD_BYTES", size)
+    monkeypatch.setattr(ngram_lm, "COMBINE", 5 * size)
     rows = corpus()
     out = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
-    plain = Plain([t for i, t in rows if not out(i)])
+    plain = Plain([t for i, t in rows if not out(i)], order)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score")
-    got = {r.doc_id: r for r in ngram_lm.train_and_score(df).collect()}
+    got = {r.doc_id: r for r in ngram_lm.train_and_score(df, order=order).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         r = got[i]
@@ -80,10 +79,12 @@ def test_scores_equal_the_definition(spark, monkeypatch, size):
         assert math.isclose(r.base_score, plain.base(t), rel_tol=1e-9) and math.isclose(r.score, plain.score(t), rel_tol=1e-9)
 
 
-def test_probabilities_sum_to_one():
-    plain = Plain([t for _, t in corpus()])
-    for a in ["<begin>", "w1", "hot", "never seen"]:
-        assert math.isclose(sum(plain.p(a, b) for b in [*plain.uni, "another"]), 1, rel_tol=1e-9)
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(order):
+    plain = Plain([t for _, t in corpus()], order)
+    for a in [("<begin>",), ("w1",), ("hot",), ("never seen",)]:
+        context = (a * 2)[: order - 1]
+        assert math.isclose(sum(plain.p((*context, b)) for b in [*plain.uni, "another"]), 1, rel_tol=1e-9)
 
 
 def test_nothing_to_learn_from(spark):
