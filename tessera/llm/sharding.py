@@ -1,10 +1,10 @@
 """Uniform shuffle into shards of exact size, by a hypergeometric communication matrix.
 
-Rows are dealt to source blocks by a hash of their key. Counts per block (a small aggregate) and the exact shard
-capacities fix the margins of a matrix; its entries, how many rows of each block go to each destination cell, are drawn
-from the multivariate hypergeometric law. Each block is then permuted locally, cut by its row of the matrix,
-exchanged, and each cell permuted again. A shard is a run of cells, so no task ever holds a whole shard and every
-slot is known without a further count.
+Counts per input partition (a small aggregate) and the exact shard sizes fix the margins of a matrix; its entries, how many
+rows of each partition go to each shard, are drawn from the multivariate hypergeometric law. Each partition is
+permuted locally, cut by its row of the matrix, and exchanged once; then shards are permuted again, in cells that
+rows enter at random: a permutation within random cells, one after another, is a uniform one, so no task ever holds a
+whole shard. Cells' first slots are prefix sums of their counts.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import free_name
 
-#: The matrix has at most MAX_BLOCKS x MAX_CELLS entries: 32 MB of 64-bit counts, the proven bound of its broadcast.
-MAX_BLOCKS, MAX_CELLS = 2048, 2048
+#: The matrix, and the cells' first slots, are broadcast up to this many numbers (64 MB), and joined by a shuffle beyond it.
+BROADCAST_NUMBERS = 1 << 23
 NUMPY_LIMIT = 1_000_000_000
 
 
@@ -78,41 +78,43 @@ def shard_sizes(n_rows: int, n_shards: int) -> list[int]:
     return [n_rows // n_shards + (i < n_rows % n_shards) for i in range(n_shards)]
 
 
-def uniform_shards(df: DataFrame, key: str, n_shards: int = 16, seed: int = 1, block_rows: int = 8192) -> DataFrame:
+def uniform_shards(df: DataFrame, key: str, n_shards: int = 16, seed: int = 1, cell_rows: int = 8192) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 in its shard): a uniform random permutation.
 
-    key should tell rows apart: rows that share it fall into one block, and stay correct, but unevenly spread. A null
-    key counts as a value. Rows that are wholly alike are interchangeable. An empty df gives no rows. Columns of df
-    called shard or slot are replaced.
+    key, with the other columns, tells rows apart; rows that are wholly alike are interchangeable. A null key counts as
+    a value. An empty df gives no rows. Columns of df called shard or slot are replaced. df must have the same rows in
+    the same partitions whenever it runs, as files and shuffles by keys have; where it has not, the query fails.
     """
     df = df.drop("shard", "slot")
-    block, at, cell = (free_name(df, n) for n in ("_block", "_at", "_cell"))
-    hashed: Column = F.xxhash64(F.lit(seed), F.col(key))
-    n_rows = df.select(key).count()
+    block, at, cell, ends, first = (free_name(df, n) for n in ("_block", "_at", "_cell", "_ends", "_first"))
+    place, other = free_name(df, "_place"), free_name(df, "_other")
+    whole = [F.col(f"`{c}`") for c in df.columns]
+    # All columns are read, so that no other plan is chosen than for the shuffle itself.
+    counted = df.select(F.spark_partition_id().alias("b"), F.xxhash64(*whole).alias("h")).groupBy("b").agg(F.count("h").alias("n"))
+    counts = {r[0]: r[1] for r in counted.collect()}  # a row a partition
+    n_rows = sum(counts.values())
     if not n_rows:
         return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    n_blocks = min(MAX_BLOCKS, max(1, math.ceil(n_rows / block_rows)))
-    per_shard = min(max(1, MAX_CELLS // n_shards), max(1, math.ceil(n_rows / n_shards / block_rows)))
-    owner = F.pmod(hashed, F.lit(n_blocks)).cast("int")
-    counts = {r[0]: r[1] for r in df.select(owner.alias("b")).groupBy("b").count().collect()}  # at most MAX_BLOCKS rows
-    blocks = [counts.get(b, 0) for b in range(n_blocks)]
-    shards = shard_sizes(n_rows, n_shards)
-    cells = [c for size in shards for c in shard_sizes(size, per_shard)]
-    matrix = communication_matrix(blocks, cells, seed)
-    ends = matrix.cumsum(axis=1)
-    starts = np.cumsum([[0, *shard_sizes(size, per_shard)[:-1]] for size in shards], axis=1).ravel()
-    coarse = ends[:, per_shard - 1 :: per_shard]
-    rows = [(b, coarse[b].tolist(), ends[b].tolist()) for b in range(n_blocks)]
-    plan = F.broadcast(df.sparkSession.createDataFrame(rows, f"{block} int, _coarse array<bigint>, _fine array<bigint>"))
-
-    tie = F.xxhash64(*df.columns)
-    first = Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), F.col(key), tie)
-    again = Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed + 2), F.col(key)), F.col(key), tie)
-    passed = lambda ends, at: F.size(F.filter(ends, lambda e: e <= at))
-    dealt = df.withColumn(block, owner).withColumn(at, (F.row_number().over(first) - 1).cast("long")).join(plan, block)
-    shard = passed(F.col("_coarse"), F.col(at))
-    dealt = dealt.withColumn("shard", shard)
-    within = passed(F.slice("_fine", F.col("shard") * per_shard + 1, F.lit(per_shard)), F.col(at))
-    dealt = dealt.withColumn(cell, F.col("shard") * per_shard + within).drop("_coarse", "_fine", block, at)
-    begin = F.element_at(F.array(*[F.lit(int(s)).cast("long") for s in starts]), F.col(cell) + 1)
-    return dealt.withColumn("slot", begin + F.row_number().over(again) - 1).drop(cell)
+    blocks = sorted(counts)
+    matrix = communication_matrix([counts[b] for b in blocks], shard_sizes(n_rows, n_shards), seed)
+    rows = [(b, e) for b, e in zip(blocks, matrix.cumsum(axis=1).tolist(), strict=True)]
+    plan = df.sparkSession.createDataFrame(rows, f"{block} int, {ends} array<bigint>")
+    plan = F.broadcast(plan) if matrix.size <= BROADCAST_NUMBERS else plan
+
+    tie = F.xxhash64(*whole)
+    mixed = lambda salt: F.xxhash64(F.lit(seed + salt), F.col(f"`{key}`"), tie)
+    # The local permutation: rows sorted by a hash; their numbers then hold the partition and the place in it.
+    numbered = df.withColumn(place, mixed(1)).sortWithinPartitions(place, F.col(f"`{key}`")).withColumn(place, F.monotonically_increasing_id())
+    numbered = numbered.withColumn(block, F.shiftright(place, 33).cast("int")).withColumn(at, F.col(place).bitwiseAND((1 << 33) - 1)).join(plan, block, "left")
+    shard = F.size(F.filter(ends, lambda e: e <= F.col(at)))
+    whole_shard = F.when(F.coalesce(F.element_at(ends, -1), F.lit(0)) > F.col(at), shard).otherwise(F.raise_error(F.lit("df's partitions have changed while it was shuffled")).cast("int"))
+    per_shard = max(1, math.ceil(n_rows / n_shards / cell_rows))
+    dealt = numbered.withColumn("shard", whole_shard).withColumn(cell, F.pmod(F.xxhash64(F.lit(seed + 2), place), F.lit(per_shard)).cast("int")).drop(block, at, ends)
+    sizes = dealt.groupBy(F.col("shard").alias(other), cell).agg(F.count(F.lit(1)).alias(first))
+    before = Window.partitionBy(other).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn(first, F.coalesce(F.sum(first).over(before), F.lit(0)))
+    starts = F.broadcast(starts) if per_shard * n_shards <= BROADCAST_NUMBERS // 4 else starts
+    again = Window.partitionBy("shard", cell).orderBy(F.xxhash64(F.lit(seed + 3), place), place)
+    ranked = dealt.withColumn("slot", F.row_number().over(again).cast("long")).withColumnRenamed(cell, f"{cell}_")
+    out = ranked.join(starts, (F.col("shard") == F.col(other)) & (F.col(f"{cell}_") == F.col(cell)))
+    return out.withColumn("slot", F.col("slot") + F.col(first) - 1).select(*whole, F.col("shard"), F.col("slot"))

@@ -44,12 +44,28 @@ def test_nearest_of_nothing_and_of_few(spark):
     assert ann.nearest(empty, F.lit(True)).collect() == []
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r.vec_id) for r in ann.nearest(few, F.lit(True)).collect()) == [(0, 1), (1, 0)]
+    mixed = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.vec_id, round(r.score, 6)) for r in ann.nearest(mixed, F.lit(True)).collect())
+    assert got == [(0, 1, 1.0), (1, 0, 1.0), (2, 3, 0.707107), (3, 2, 0.707107)]
+
+
+def test_strips_change_nothing(monkeypatch):
+    rng = np.random.default_rng(9)
+    q, c = rng.normal(size=(20, 8)), np.repeat(rng.normal(size=(60, 8)), 5, axis=0)
+    ids = np.arange(300)
+    whole = ann.tile_nearest(ids[:20] * 3, q, ids, c, 7)
+    monkeypatch.setattr(ann, "STRIP", 11)
+    assert ann.tile_nearest(ids[:20] * 3, q, ids, c, 7).equals(whole)
+    for i in range(20):
+        score = c @ q[i] / np.sqrt((c * c).sum(axis=1) * (q[i] @ q[i]))
+        want = [j for j in np.lexsort((ids, -score.round(12))) if j != 3 * i][:7]
+        assert whole["vec_id"][whole["query_id"] == 3 * i].tolist() == want
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1000])
 def test_shards_are_a_permutation_of_exact_sizes(spark, n):
     df = spark.createDataFrame([(i, None if i % 7 == 0 else f"t{i % 9}", i) for i in range(n)], "doc_id long, text string, SHARD long")
-    rows = sharding.uniform_shards(df, "doc_id", 4, block_rows=50).collect()
+    rows = sharding.uniform_shards(df, "doc_id", 4, cell_rows=50).collect()
     assert sorted(r.doc_id for r in rows) == list(range(n))
     for s in range(4):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(n // 4 + (s < n % 4)))
@@ -57,17 +73,24 @@ def test_shards_are_a_permutation_of_exact_sizes(spark, n):
 
 def test_shards_with_repeated_and_null_keys(spark):
     df = spark.createDataFrame([(1, "a")] * 60 + [(None, "b")] * 60 + [(3, "c")] * 40, "doc_id long, text string")
-    rows = sharding.uniform_shards(df, "doc_id", 3, block_rows=10).collect()
+    rows = sharding.uniform_shards(df, "doc_id", 3, cell_rows=10).collect()
     assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(3) for i in range(160 // 3 + (s < 1))]
     assert sum(r.text == "b" for r in rows) == 60
 
 
+def test_clashing_columns_and_many_partitions(spark):
+    names = "doc_id, _block, _at, _cell, _cell_, _ends, _first, _place, _other, _coarse, Shard"
+    df = spark.range(500).selectExpr("id AS doc_id", *[f"1 AS {n}" for n in names.split(", ")[1:]]).repartition(13, "doc_id")
+    rows = sharding.uniform_shards(df, "doc_id", 4, cell_rows=20).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(4) for i in range(125)] and len({r.doc_id for r in rows}) == 500
+
+
 def test_shuffle_is_uniform(spark):
     """Every row is about as likely in each shard, over many seeds."""
     hits = np.zeros(4)
     for seed in range(12):
         df = spark.range(40).withColumnRenamed("id", "doc_id")
-        for r in sharding.uniform_shards(df, "doc_id", 4, seed, block_rows=7).filter("doc_id < 10").collect():
+        for r in sharding.uniform_shards(df, "doc_id", 4, seed, cell_rows=7).filter("doc_id < 10").collect():
             hits[r.shard] += 1
     assert hits.sum() == 120 and hits.min() > 12
 
