@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, mixing, packing, quality, secrets
-from tessera.llm.shared import materialize
+from tessera.llm.shared import drop_path, fresh_path, materialize, side_files
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{i}")
-    return docs
+    """Apply the stages to documents; each result but the last is written to the shared folder and read again, and then its predecessor deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = fresh_path(spark, f"stage{i}")
+        with side_files(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage{i}", path=path)
+        if before:
+            drop_path(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
