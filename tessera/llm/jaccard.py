@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.files import load, runs, save
 from tessera.llm.graph import components
-from tessera.llm.shared import drop_path, fresh_path, lean, materialize, small_batches
+from tessera.llm.shared import fresh_path, lean, materialize, side_files, small_batches
 from tessera.llm.words import LOWER, mix, shingle_sets
 
 WORDS = 5
@@ -328,8 +328,14 @@ def _clashing(base: DataFrame) -> DataFrame | None:
 
 def _graded(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """doc_id, n_shingles, set_hash, component_id and is_first (no smaller row links) for every row; and _clashing."""
-    with small_batches(docs.sparkSession):
-        return _graded_now(docs, id_col, text_col)
+    spark = docs.sparkSession
+    path = fresh_path(spark, "classes")
+    with small_batches(spark), side_files(spark):
+        graded, clashing = _graded_now(docs, id_col, text_col)
+        graded = materialize(graded, "classes", path=f"{path}/rows")
+        if clashing is not None:
+            clashing = materialize(clashing, "clashing", path=f"{path}/clashing")
+    return graded, clashing
 
 
 def _graded_now(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:

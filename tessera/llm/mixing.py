@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import WORD_GAP, materialize
+from tessera.llm.shared import WORD_GAP, fresh_path, materialize, side_files
 
 #: Domains by label, in the order of the classes: low quality, good, toxic.
 DOMAINS = ["low", "good", "toxic"]
@@ -144,11 +144,13 @@ def mix(df: DataFrame, labelled: DataFrame, text_col: str = "text", carry: list[
     results = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies", "residual"]
     names = [c for c in (df.columns if carry is None else carry) if c.lower() not in results]
     held = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("_none"))
-    columns, words = posteriors(df, labelled, text_col)
+    path = fresh_path(df.sparkSession, "posteriors")
+    with side_files(df.sparkSession):
+        columns, words = posteriors(df, labelled, text_col)
     u = F.pmod(F.xxhash64(F.lit(seed), text_col, *[F.col(f"`{c}`") for c in names if c == "doc_id"]), F.lit(1 << 30)) / float(1 << 30)
     rows = with_features(df.select(held.alias("_row"), F.col(text_col).alias("_t"), u.alias("_u01")), "_t", words)
     rows = rows.select("_row", "_u01", "_n", *[c.alias(f"_p{i}") for i, c in enumerate(columns)])
-    rows = materialize(rows, "posteriors")
+    rows = materialize(rows, "posteriors", path=path)
     steps, residual = fit_rates(rows, [goal[d] for d in DOMAINS], budget)
     p = [F.col(f"_p{i}") for i in range(len(DOMAINS))]
     rows = rows.withColumn("_rate", rate(p, steps))

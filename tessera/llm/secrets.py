@@ -14,13 +14,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed patterns of candidates, the named ones before the general one.
+from tessera.llm.shared import free_name
+
+#: Fixed patterns of candidates: whole private keys, named forms, values assigned to a telling name (of any characters, six
+#: or more), and mixed strings of 16 characters or more. Nothing else can be found; the forest only rejects.
 PATTERNS = [
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----",
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,.\s-]{0,16384}?-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:\s{1,4}[A-Za-z0-9+/]{40,128}+={0,2})*+(?:\s{1,4}[A-Za-z0-9+/]{1,64}+={1,2})?)",
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])gh[pousr]_[0-9A-Za-z]{36,}",
     r"(?<![A-Za-z0-9])xox[abprs]-[0-9A-Za-z-]{10,}",
     r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    r"(?<=[=:\"'\s])(?<=(?i:password|passwort|passwd|pwd|passphrase|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)[^\s\"'<>,;(){}\[\]]{6,256}",
     r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}",
 ]
 PATTERN = "|".join(PATTERNS)
@@ -84,7 +88,23 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         ("Authorization: Bearer ", F.substring(alnum, 1, 48), "\n", 1),
         ("", F.concat(lit("ghp_"), F.substring(alnum, 1, 36)), " ", 1),
         ("secret = '", b64, "'", 1),
-        ("", lit("-----BEGIN RSA PRIVATE KEY-----"), "\n", 1),
+        ("", F.concat(lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.substring(F.repeat(b64, 8), 1, 600), lit("\n-----END RSA PRIVATE KEY-----")), "\n", 1),
+        ("DB_PASSWORD=", F.concat(F.initcap(word(3)), number, lit("!"), F.substring(alnum, 1, 3)), "\n", 1),
+        ("password = \"", F.concat(F.substring(alnum, 1, 4), lit("&"), F.substring(alnum, 5, 5)), "\"", 1),
+        ("passwd: ", F.concat(F.substring(alnum, 1, 2), word(4), lit("#"), F.substring(number, 1, 2)), "\n", 1),
+        ("secret=", F.lower(F.regexp_replace(alnum, "[0-9]", "")), " ", 1),
+        ("password=", F.concat(word(4), F.substring(number, 1, 2), lit("!")), " ", 1),
+        ("Authorization: Bearer ", F.substring(hexes, 1, 64), "\n", 1),
+        ("token: ", word(3), " ", 0),
+        ("password: ", F.translate(F.substring(hexes, 1, 8), "0123456789abcdef", "aeioulnrstaeidom"), " ", 0),
+        ("", F.concat(F.upper(word(4)), lit("_"), F.translate(F.substring(hexes, 1, 8), "abcdef", "012345"), lit("_"), word(5)), " ", 0),
+        ("", F.concat(lit("/"), word(4), lit("/"), word(5), lit("/"), word(6), number), "/", 0),
+        ("the secret: ", F.concat(word(4), lit(".")), " ", 0),
+        ("password: ", F.concat_ws("-", lit("your"), word(3)), "\n", 0),
+        ("api_key = \"", F.concat_ws("_", lit("insert"), word(5), lit("here")), "\"", 0),
+        ("password=", F.concat(lit("os.environ."), word(6)), "\n", 0),
+        ("token = ", F.concat(word(4), lit("."), word(5), F.initcap(word(6))), "\n", 0),
+        ("secret: $", F.concat(F.upper(word(4)), lit("_"), F.upper(word(5))), "\n", 0),
         ("commit ", F.substring(hexes, 1, 40), "\n", 0),
         ("sha256:", F.substring(hexes, 1, 64), " ", 0),
         ("/static/js/", F.substring(hexes, 1, 20), ".js", 0),
@@ -108,6 +128,7 @@ def train(labelled: DataFrame, trees: int = 24, depth: int = 6, seed: int = 7):
     named = [c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("left"), F.col("right")), strict=True)]
     rows = labelled.filter(F.col("value").isNotNull() & F.col("label").isNotNull()).withColumns({c: F.coalesce(c, F.lit("")) for c in ("left", "right")})
     rows = rows.select(*named, F.col("label").cast("double").alias("label")).coalesce(1).sortWithinPartitions(*FEATURES, "label")
+    # A bounded table of short rows, held for the forest's passes.
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("features", "label").cache()
     classes = [r[0] for r in rows.select("label").distinct().collect()]
     if len(classes) < 2:
@@ -136,9 +157,9 @@ def scan(df: DataFrame, text_col: str = "text", labelled: DataFrame | None = Non
     score = train(labelled if labelled is not None else labelled_findings(df.sparkSession))
     text = F.col(text_col)
     found = _bind(F.regexp_extract_all(text, F.lit(PATTERN), 0), lambda values: _bind(F.split(text, PATTERN, -1), lambda gaps: _judged(values, gaps, score, threshold)))
-    rows = df.drop("_findings", "_clean").withColumn("_scan", F.when(text.rlike(PATTERN), found))
-    secret = F.col("_scan.clean")
-    return rows.withColumns({"_findings": F.col("_scan.findings"), "_clean": F.coalesce(secret, text)}).drop("_scan")
+    own = free_name(df, "_scan")
+    rows = df.drop("_findings", "_clean").withColumn(own, F.when(text.rlike(PATTERN), found))
+    return rows.withColumns({"_findings": F.col(f"{own}.findings"), "_clean": F.coalesce(F.col(f"{own}.clean"), text)}).drop(own)
 
 
 def _bind(value: Column, use) -> Column:
@@ -176,13 +197,22 @@ def _judged(values: Column, gaps: Column, score, threshold: float) -> Column:
 
 
 def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per candidate: doc_id, finding (from 0 within its row), start, length, value, score, secret."""
+    """One row per candidate: doc_id, finding (from 0 within its row), start, length, value, score, secret.
+
+    Every row is scanned for itself: repeated rows and rows that share an id give their findings each, a null id stays null.
+    Null, empty and clean texts have no rows, nor have empty tables. Other columns are ignored.
+    """
     rows = scan(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", **options)
     return rows.select("doc_id", F.posexplode("_findings").alias("finding", "x")).select("doc_id", "finding", "x.*")
 
 
 def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = None, **options) -> DataFrame:
-    """df with the secrets in its texts replaced by [SECRET]; chars_col, if given, is recounted where a text changed."""
+    """df with the secrets in its texts replaced by [SECRET]; chars_col, if given, is recounted where a text changed.
+
+    All rows and columns stay, in any number of repeats; ids are not looked at. Null texts stay null. An empty table stays
+    empty. Of a private key the whole block goes, from its BEGIN to its END; without an END, its header and what
+    follows it in lines of base64.
+    """
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), F.col(text_col).alias("_text"))
     rows = scan(held, "_text", **options)
     hit = F.exists("_findings", lambda x: x["secret"])

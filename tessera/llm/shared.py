@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import os
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_inside: ContextVar[list[str] | None] = ContextVar("side files of the operator that runs", default=None)
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder. Results may read it for as long as the driver lives; clean() deletes it."""
+    """A new path below the shared folder. It is deleted at the end of the side_files() that it is made in, or of the driver."""
     if not _made:
         atexit.register(clean)
-    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    if (inside := _inside.get()) is not None:
+        inside.append(path)
+    return path
+
+
+@contextmanager
+def side_files(spark: SparkSession) -> Iterator[None]:
+    """What is written to fresh paths in here is deleted at the end; results belong to a path made before."""
+    mine: list[str] = []
+    token = _inside.set(mine)
+    try:
+        yield
+    finally:
+        _inside.reset(token)
+        for path in mine:
+            drop_path(spark, path)
+            if path in _made:
+                _made.remove(path)
 
 
 def clean() -> None:
@@ -54,13 +72,13 @@ def clean() -> None:
             return
 
 
-def materialize(df: DataFrame, what: str, small: bool = False) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts lineage and survives lost executors.
+def materialize(df: DataFrame, what: str, small: bool = False, path: str | None = None) -> DataFrame:
+    """Write a table into the shared folder (a fresh path by default) and read it again: cuts lineage and survives lost executors.
 
     small: few rows in many partitions; they are merged first, so that no crowd of tiny files results.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, what)
+    path = path or fresh_path(spark, what)
     # A writer holds a row group in memory: 16 MB of them are enough.
     (df.hint("rebalance") if small else df).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,7 +91,6 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
@@ -83,14 +100,6 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later time."""
-    for _ in range(2):  # the first round lets go of Python's references, the second of what they held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
     """Arrow batches of few rows while an action runs: texts may be long, and a batch is held as a whole."""

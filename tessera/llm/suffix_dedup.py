@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,10 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def _blob(shard: int, kind: str, arrays) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"shard": int(shard), "kind": kind, "body": [a.tobytes() for a in arrays]}], schema=BLOB)
+    """Arrays in one row, the byte planes of each compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return pa.RecordBatch.from_pylist([{"shard": int(shard), "kind": kind, "body": [pack(p) for p in planes]}], schema=BLOB)
 
 
 def _split(arrays, shard: np.ndarray, kind: str):
@@ -64,7 +68,11 @@ def _split(arrays, shard: np.ndarray, kind: str):
 
 
 def _opened(body, kinds: list) -> list[np.ndarray]:
-    return [np.frombuffer(b.as_buffer(), t) for b, t in zip(body.values, kinds, strict=True)]
+    unpack, out = zstandard.ZstdDecompressor().decompress, []
+    for part, kind in zip(body.values, map(np.dtype, kinds), strict=True):
+        planes = np.frombuffer(unpack(part.as_buffer()), np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel())
+    return out
 
 
 def _gathered(rows: pa.RecordBatch, kind: str, kinds: list) -> list[np.ndarray]:
@@ -140,7 +148,7 @@ def _anchored(shards: int):
         for kind, own, flag in (("stretch", order[begin], several), ("too", order[~head], np.zeros(len(of) - len(begin), bool))):
             if len(own):
                 back = np.argsort(own)  # in the order of the texts, which compresses better
-                yield from _split([a[own[back]] for a in (*arrays, )] + [flag[back].astype(np.uint8)], shard[own[back]], kind)
+                yield from _split([*(a[own[back]] for a in arrays), flag[back].astype(np.uint8)], shard[own[back]], kind)
 
     def run(batches):
         held, size = [], 0

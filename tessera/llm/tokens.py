@@ -18,14 +18,13 @@ import public_tokenizers
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces longer than LONGEST are not kept, nor any beyond KEEP; both bound memory only.
-LONGEST, KEEP = 40, 1_000_000
+LONGEST, KEEP = 40, 700_000
 #: White space in runs. Without it, and without any at the ends, every blank and line end is a place to cut.
 RUN = re.compile(r"\s\s")
 #: Where a text with such white space may still be cut.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Texts encoded at once.
-GROUP = 512
-TOGETHER = 256
+#: Texts encoded at once, and missing pieces that go to the library as one text.
+GROUP, TOGETHER = 512, 256
 
 
 class _Pieces(dict):
