@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney model of any order: counted in Spark, stored as sorted hash arrays, scored from memory maps.
 
-Words are counted first; a word's number is its place in the sorted vocabulary files, so n-grams are exact rows of
-numbers. N-grams are combined in the task and dealt by the hash of the whole n-gram, which spreads the n-grams of a
+Words are counted first and numbered from frequent to rare (by powers of two of their counts), so n-grams are exact rows
+of numbers that compress well. N-grams are combined in the task and dealt by the hash of the whole n-gram, which spreads the n-grams of a
 frequent context evenly. The merge of a level writes one file a shard (sorted hashes with counts) and sends on, combined
 again, the sums of each context and a count for each suffix, dealt by their own hashes: they make the next lower
 level. Scoring workers map the files in place and look up each batch's distinct n-grams in sorted order, so memory
@@ -107,6 +107,19 @@ def _full(small: np.ndarray, large: np.ndarray, value: np.ndarray, at: np.ndarra
     return out
 
 
+def _marked(marks: np.ndarray) -> list[np.ndarray]:
+    """Bits of marks in 64-bit words, and how many are set before each word."""
+    bits = np.packbits(np.concatenate([marks, np.zeros(-len(marks) % 64, bool)]), bitorder="little").view(np.uint64)
+    count = np.bitwise_count(bits).astype(np.int64)
+    return [bits, count.cumsum() - count]
+
+
+def _rank(bits: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place."""
+    inside = bits[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+    return before[at >> 6] + np.bitwise_count(inside)
+
+
 def _word_counts(shards: int):
     """Words and their counts, combined in the task."""
 
@@ -129,6 +142,14 @@ def _word_counts(shards: int):
     return run
 
 
+LEVELS = 64
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """The power of two that each count reaches."""
+    return np.searchsorted(np.array([1 << k for k in range(LEVELS)], np.uint64), counts.astype(np.uint64), side="right") - 1
+
+
 def _vocabulary(path: str):
     """Per shard the sorted words with their counts in a file."""
 
@@ -137,8 +158,13 @@ def _vocabulary(path: str):
             found = [_unpacked(b, [np.uint64, np.uint64]) for b in rows.column("body").to_pylist()]
             words, n = (np.concatenate(x) for x in zip(*found, strict=True))
             words, _, (n,) = _summed(words, [], [n])
-            save(f"{path}/0-{shard}", [words, *_small(n)])
-            yield pa.RecordBatch.from_pylist([{"kind": "0", "shard": int(shard), "numbers": [len(words), int(n.sum())]}], schema=STATS)
+            level = _level(n)
+            order = np.argsort(level, kind="stable")
+            of_level = np.bincount(level, minlength=LEVELS)
+            rank = np.empty(len(words), np.uint64)
+            rank[order] = np.arange(len(words)) - (of_level.cumsum() - of_level)[level[order]]
+            save(f"{path}/0-{shard}", [words, *_small(n.astype(np.int64)), rank.astype(np.uint32) if len(words) < 1 << 32 else rank])
+            yield pa.RecordBatch.from_pylist([{"kind": "0", "shard": int(shard), "numbers": [int(n.sum()), *of_level.tolist()]}], schema=STATS)
 
     return run
 
@@ -158,11 +184,12 @@ class Words:
         ids, counts = np.full(len(words), self.unknown, self.kind), np.zeros(len(words), np.int64)
         for shard, part in _parts(shard_of(words, self.about["shards"])[0]):
             if shard in self.about["bases"]:
-                known, *n = load(f"{self.about['path']}/0-{shard}")
+                known, *n, rank = load(f"{self.about['path']}/0-{shard}")
                 at = np.minimum(np.searchsorted(known, words[part]), len(known) - 1)
-                hit = known[at] == words[part]
-                ids[part] = np.where(hit, at + self.about["bases"][shard], self.unknown)
-                counts[part] = np.where(hit, _full(*n, at), 0)
+                hit = np.flatnonzero(known[at] == words[part])
+                found = _full(*n, at[hit])
+                counts[part][hit] = found
+                ids[part][hit] = np.array(self.about["bases"][shard])[_level(found)] + rank[at[hit]].astype(np.int64)
         return ids[of_word], counts[of_word]
 
     def padded(self, ids: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,8 +263,12 @@ def _merged(about: dict, level: int):
                 everything = np.union1d(keys, contexts)
                 stats = [_placed(everything, contexts, s) for s in stats]
             _, place = shard_of(everything, shards)
+            marks = []
+            if stats:  # what is followed once has nothing more to tell: the classes are kept of the rest
+                more = stats[0] > 1
+                stats, marks = [stats[0], *(x[more] for x in stats[1:])], _marked(more)
             arrays = [_small(x) for x in (_placed(everything, keys, n), *stats)]
-            save(f"{path}/{level}-{shard}", [(place >> np.uint64(32)).astype(np.uint32), (place >> np.uint64(16)).astype(np.uint16), *(a for three in arrays for a in three)])
+            save(f"{path}/{level}-{shard}", [(place >> np.uint64(32)).astype(np.uint32), (place >> np.uint64(16)).astype(np.uint16), *(a for three in arrays for a in three), *marks])
             seen = np.array([level, shard, len(n), n.sum(), *((n == k).sum() for k in (1, 2, 3, 4))], np.int64)
             yield pa.RecordBatch.from_pylist([{"shard": -1 - int(shard), "kind": "stat", "body": seen.tobytes()}], schema=BLOB)
             if level > 1 and len(keys):
@@ -279,12 +310,11 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None, orde
     dealt = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard")
     with small_batches(spark):
         counted = dealt(texts.mapInArrow(lean(_word_counts(shards)), BLOB_DDL)).mapInArrow(lean(_vocabulary(path)), STATS_DDL)
-        rows = sorted((r["shard"], *r["numbers"]) for r in counted.collect())  # a row a shard
-        bases, words = {}, 0
-        for shard, n, _ in rows:
-            bases[shard] = words
-            words += n
-        about = {"path": path, "shards": shards, "order": order, "bases": bases, "words": words, "tokens": sum(r[2] for r in rows)}
+        rows = sorted((r["shard"], r["numbers"]) for r in counted.collect())  # a row a shard
+        # The first number of each level of counts in each shard, the most frequent level first.
+        sizes = np.array([n[1:] for _, n in rows], np.int64).reshape(len(rows), LEVELS)[:, ::-1]
+        bases = (sizes.T.ravel().cumsum() - sizes.T.ravel()).reshape(LEVELS, len(rows)).T[:, ::-1]
+        about = {"path": path, "shards": shards, "order": order, "bases": {shard: b.tolist() for (shard, _), b in zip(rows, bases, strict=True)}, "words": int(sizes.sum()), "tokens": sum(n[0] for _, n in rows)}
         blobs = texts.mapInArrow(lean(_counted(about)), BLOB_DDL)
         for level in range(order, 0, -1):
             blobs = dealt(blobs).mapInArrow(lean(_merged(about, level)), BLOB_DDL)
@@ -322,8 +352,16 @@ class Model:
                     break
                 at[on] += 1
             hit = np.flatnonzero((high[at] == wanted) & (low[at] == rest))
-            for i, o in enumerate(out):
-                o[part][hit] = _full(*arrays[3 * i : 3 * i + 3], at[hit])
+            at = at[hit]
+            for i, o in enumerate(out[:2]):
+                o[part][hit] = _full(*arrays[3 * i : 3 * i + 3], at)
+            if len(out) > 1:
+                followed = out[1][part][hit]
+                out[2][part][hit] = followed == 1
+                more = np.flatnonzero(followed > 1)
+                place_of = _rank(*arrays[15:], at[more])
+                for i, o in enumerate(out[2:], 2):
+                    o[part][hit[more]] = _full(*arrays[3 * i : 3 * i + 3], place_of)
         back = np.empty(len(keys), np.int64)
         back[order] = head.cumsum() - 1
         return [o[back] for o in out]
