@@ -166,7 +166,7 @@ register("q9_skip_level_correlation", _q9, "SELECT r_regionkey FROM region r WHE
 def _c4(spark: SparkSession, d: str) -> DataFrame:
     configure(spark)
     seed = run(spark, d, "SELECT n_nationkey AS k FROM {nation} WHERE n_nationkey = 1")
-    return recursion.fixpoint(seed, lambda t: t.select(((F.col("k") * 3 + 1) % 25).alias("k")))
+    return recursion.fixpoint(seed, lambda t: t.select(((F.col("k") * 3 + 1) % 25).alias("k")), linear=True)
 
 
 register("c4_recursive_union_cycle", _c4, "WITH RECURSIVE t(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 1 UNION SELECT (k * 3 + 1) % 25 FROM t) SELECT k FROM t")
