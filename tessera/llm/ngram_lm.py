@@ -111,13 +111,27 @@ def _marked(marks: np.ndarray) -> list[np.ndarray]:
     """Bits of marks in 64-bit words, and how many are set before each word."""
     bits = np.packbits(np.concatenate([marks, np.zeros(-len(marks) % 64, bool)]), bitorder="little").view(np.uint64)
     count = np.bitwise_count(bits).astype(np.int64)
-    return [bits, count.cumsum() - count]
+    return [bits, (count.cumsum() - count).astype(np.uint32 if len(marks) < 1 << 32 else np.uint64)]
 
 
 def _rank(bits: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How many marks stand before each place."""
     inside = bits[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-    return before[at >> 6] + np.bitwise_count(inside)
+    return before[at >> 6].astype(np.int64) + np.bitwise_count(inside)
+
+
+def _sparse(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts of which most are one: a mark for each other, and those."""
+    return [*_marked(counts != 1), *_small(counts[counts != 1])]
+
+
+def _dense(bits: np.ndarray, before: np.ndarray, small: np.ndarray, large: np.ndarray, value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts at some places, which of them are marked, and their ranks among the marked."""
+    out = np.ones(len(at), np.int64)
+    marked = np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+    rank = _rank(bits, before, at[marked])
+    out[marked] = _full(small, large, value, rank)
+    return out, marked, rank
 
 
 def _word_counts(shards: int):
@@ -263,12 +277,11 @@ def _merged(about: dict, level: int):
                 everything = np.union1d(keys, contexts)
                 stats = [_placed(everything, contexts, s) for s in stats]
             _, place = shard_of(everything, shards)
-            marks = []
+            arrays = _sparse(_placed(everything, keys, n))
             if stats:  # what is followed once has nothing more to tell: the classes are kept of the rest
-                more = stats[0] > 1
-                stats, marks = [stats[0], *(x[more] for x in stats[1:])], _marked(more)
-            arrays = [_small(x) for x in (_placed(everything, keys, n), *stats)]
-            save(f"{path}/{level}-{shard}", [(place >> np.uint64(32)).astype(np.uint32), (place >> np.uint64(16)).astype(np.uint16), *(a for three in arrays for a in three), *marks])
+                arrays += _sparse(stats[0])
+                arrays += [a for x in stats[1:] for a in _small(x[stats[0] != 1])]
+            save(f"{path}/{level}-{shard}", [(place >> np.uint64(32)).astype(np.uint32), (place >> np.uint64(16)).astype(np.uint16), *arrays])
             seen = np.array([level, shard, len(n), n.sum(), *((n == k).sum() for k in (1, 2, 3, 4))], np.int64)
             yield pa.RecordBatch.from_pylist([{"shard": -1 - int(shard), "kind": "stat", "body": seen.tobytes()}], schema=BLOB)
             if level > 1 and len(keys):
@@ -353,15 +366,13 @@ class Model:
                 at[on] += 1
             hit = np.flatnonzero((high[at] == wanted) & (low[at] == rest))
             at = at[hit]
-            for i, o in enumerate(out[:2]):
-                o[part][hit] = _full(*arrays[3 * i : 3 * i + 3], at)
+            out[0][part][hit] = _dense(*arrays[:5], at)[0]
             if len(out) > 1:
-                followed = out[1][part][hit]
-                out[2][part][hit] = followed == 1
-                more = np.flatnonzero(followed > 1)
-                place_of = _rank(*arrays[15:], at[more])
-                for i, o in enumerate(out[2:], 2):
-                    o[part][hit[more]] = _full(*arrays[3 * i : 3 * i + 3], place_of)
+                total, marked, rank = _dense(*arrays[5:10], at)
+                out[1][part][hit] = total
+                out[2][part][hit] = total == 1
+                for i, o in enumerate(out[2:]):
+                    o[part][hit[marked]] = _full(*arrays[10 + 3 * i : 13 + 3 * i], rank)
         back = np.empty(len(keys), np.int64)
         back[order] = head.cumsum() - 1
         return [o[back] for o in out]
