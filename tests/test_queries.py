@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tessera.plans import catalogue, composed, text  # noqa: F401
+from tessera.plans import catalogue, composed, statements, text  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 ORACLES = catalogue.oracle_sql()
