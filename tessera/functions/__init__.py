@@ -1 +1 @@
-
+"""Functions over whole results."""

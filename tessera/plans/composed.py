@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.profile import profile
 from tessera.operators import grouping, quantified, recursion, setops, versions, windows
 from tessera.plans.catalogue import register, table
 from tessera.plans.text import run
@@ -228,3 +229,12 @@ def _s6(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("s6_read_your_writes", _s6, "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN upper(n_name || '*') ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey NOT IN (7, 9)")
+
+
+# The profile of a result
+def _k7(spark: SparkSession, d: str) -> DataFrame:
+    return profile(run(spark, d, "SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS some FROM {nation}"))
+
+
+_K7 = "SELECT {} AS position, '{}' AS column, count(*) AS rows, count(*) - count({}) AS nulls, count(DISTINCT {}) AS distinct, CAST(min({}) AS VARCHAR) AS least, CAST(max({}) AS VARCHAR) AS greatest FROM (SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS some FROM nation)"
+register("k7_result_profile", _k7, " UNION ALL ".join(_K7.format(i, c, *[f'"{c}"'] * 4).replace(" AS column,", ' AS "column",').replace(" AS distinct,", ' AS "distinct",').replace(" AS rows,", ' AS "rows",') for i, c in enumerate(("n_nationkey", "n_name", "some"))))
