@@ -152,7 +152,7 @@ def _verified(batches):
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=PAIR)
 
 
-#: Ids that are broadcast at most (8 bytes each); beyond, texts are joined by a shuffle.
+#: Ids or keys that are broadcast at most (8 bytes each); beyond, tables are joined by a shuffle.
 BROADCAST_IDS = 1 << 19
 
 
@@ -380,8 +380,9 @@ def _graded_now(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         labelled = materialize(still_open(named_rows.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))), "open")
     # Signature groups that one component does not cover; groups beyond BLOCK are cut into blocks that meet pairwise.
     whole = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = labelled.join(whole.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    whole = materialize(whole.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "whole", small=True)
+    # Broadcast where they are few, so that a large group's rows stay spread.
+    rows = labelled.join(F.broadcast(whole) if whole.count() <= BROADCAST_IDS else whole, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1)
     cells = rows.select(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("cell"), side.alias("side"), "doc_id", "component", "n_shingles")
