@@ -78,7 +78,7 @@ def shard_sizes(n_rows: int, n_shards: int) -> list[int]:
     return [n_rows // n_shards + (i < n_rows % n_shards) for i in range(n_shards)]
 
 
-def uniform_shards(df: DataFrame, key: str, n_shards: int = 16, seed: int = 1, cell_rows: int = 8192) -> DataFrame:
+def uniform_shards(df: DataFrame, key: str, n_shards: int = 16, seed: int = 1, cell_rows: int = 2048) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 in its shard): a uniform random permutation.
 
     key, with the other columns, tells rows apart; rows that are wholly alike are interchangeable. A null key counts as
