@@ -59,7 +59,7 @@ STATS_DDL = "kind string, shard long, numbers array<long>"
 def _packed(columns: list[np.ndarray]) -> bytes:
     columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
     planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
-    return np.int64(len(columns[0])).tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return np.int64(len(columns[0])).tobytes() + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
 def _unpacked(body: bytes, kinds: list) -> list[np.ndarray]:
