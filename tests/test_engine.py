@@ -113,6 +113,8 @@ def test_views_of_the_user_stay(spark, engine):
     engine.query("WITH RECURSIVE w(v) AS (SELECT 1 UNION SELECT (v + 3) % 10 FROM w) SELECT COUNT(*) FROM w, load").collect()
     assert spark.table("load").count() == 3 and spark.table("w").count() == 4
     assert engine.query("SELECT COUNT(*) FROM load").first()[0] == len(LOADS)
+    for name in ("load", "w"):
+        spark.catalog.dropTempView(name)
 
 
 def test_changes(engine):
