@@ -86,51 +86,56 @@ def posteriors(df: DataFrame, labelled: DataFrame, text_col: str = "text", sampl
     return [p / total for p in powers], words
 
 
-def fit_rates(rows: DataFrame, targets: list[float], budget: float = 1.0, tolerance: float = 1e-4, patience: int = 10) -> tuple[list[list[float]], float]:
+#: A fit looks at the residuals of at most this many steps; targets that nonnegative rates can meet need about ten.
+TRIALS = 60
+
+
+def fit_rates(rows: DataFrame, targets: list[float], budget: float = 1.0, tolerance: float = 1e-4, trials: int = TRIALS) -> tuple[list[list[float]], float]:
     """The steps of projected gradient descent over rows of (_n, _p0, _p1, ...), for rate(), and the largest residual left.
 
-    First the gradient is taken in the metric of the posteriors' Gram matrix (as many rows and columns as there are domains),
-    which needs few steps while the bound at zero is out of the way. When such a step no longer lowers the residual by a
-    tenth, accelerated projected gradient steps of the inverse Lipschitz constant follow, started anew where they
-    overshoot. The fit ends within the tolerance, or when `patience` steps together lower the residual by less than a
-    hundredth: then no nonnegative rates meet the targets much better.
+    First the gradient is taken in the metric of the Gram matrix (as many rows and columns as there are domains) of the
+    posteriors whose rates are above zero. When such a step no longer lowers the residual by a hundredth, accelerated
+    projected gradient steps of the inverse Lipschitz constant follow, started anew where they overshoot. The fit ends
+    within the tolerance, when five steps together lower the residual by less than a hundredth, or after `trials`: the
+    caller learns from the residual how far the targets, which then lie outside what rates can reach or at its edge, are missed.
     """
     k = len(targets)
     p, n = [F.col(f"_p{i}") for i in range(k)], F.col("_n")
-    cells = [F.sum(n * p[i] * p[j]) for i in range(k) for j in range(k)]
-    first = rows.agg(F.sum(n), *cells).first()
-    if not first or not first[0]:
+    total = rows.agg(F.sum(n)).first()[0]
+    if not total:
         return [], 0.0
-    total = float(first[0])
-    gram = np.array(first[1:], float).reshape(k, k) / total
-    inverse = np.linalg.pinv(gram, rcond=1e-9)
-    plain = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
     goal = np.array(targets, float) / sum(targets) * budget
 
-    def residuals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        """At the rates, and at the point ahead of them that the momentum leads to."""
-        both = rows.select(n.alias("_n"), *p, _moved(p, steps).alias("_s"))
-        sums = both.agg(*[F.sum(F.col("_n") * F.col(f"_s.{part}") * x) for part in ("r", "y") for x in p]).first()
-        return np.array(sums[:k], float) / total - goal, np.array(sums[k:], float) / total - goal
+    def looked_at(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The residuals at the rates and at the point ahead of them that momentum leads to, and the Gram matrix of the rates above zero."""
+        s = rows.select(n.alias("_n"), *p, _moved(p, steps).alias("_s"))
+        r, m = F.col("_s.r"), F.col("_n")
+        cells = [F.sum(F.when(r > 0, m * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]
+        found = np.array(s.agg(*[F.sum(m * F.col(f"_s.{part}") * x) for part in ("r", "y") for x in p], *cells).first(), float) / float(total)
+        return found[:k] - goal, found[k : 2 * k] - goal, found[2 * k :].reshape(k, k)
 
     steps: list[list[float]] = []
-    error, size = residuals(steps)[0], 1.0
-    while np.abs(error).max() > tolerance and size > 0.1:
-        trial = [*steps, [*(size * inverse @ error), 0.0]]
-        found = residuals(trial)[0]
-        if np.linalg.norm(found) < np.linalg.norm(error) * 0.9:
-            steps, error, size = trial, found, min(1.0, 4 * size)
+    error, _, gram = looked_at(steps)
+    whole, size, used = gram, 1.0, 1
+    plain = 1.0 / max(float(np.linalg.eigvalsh(whole)[-1]), 1e-12)
+    while np.abs(error).max() > tolerance and size > 0.1 and used < trials:
+        trial = [*steps, [*(size * np.linalg.pinv(gram, rcond=1e-9) @ error), 0.0]]
+        found, _, active = looked_at(trial)
+        used += 1
+        if np.linalg.norm(found) < np.linalg.norm(error) * 0.99:
+            steps, error, gram, size = trial, found, active, min(1.0, 2 * size)
         else:
             size /= 2
     norms, ahead, t = [float(np.linalg.norm(error))], error, 1.0
-    while np.abs(error).max() > tolerance:
+    while np.abs(error).max() > tolerance and used < trials:
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         steps = [*steps, [*(plain * ahead), (before - 1) / t]]
-        error, ahead = residuals(steps)
+        error, ahead, _ = looked_at(steps)
+        used += 1
         norms.append(float(np.linalg.norm(error)))
         if norms[-1] > norms[-2]:  # overshot: the momentum starts anew
             steps[-1][-1], ahead, t = 0.0, error, 1.0
-        if len(norms) > patience and norms[-1] > 0.99 * norms[-1 - patience]:
+        if len(norms) > 5 and norms[-1] > 0.99 * norms[-6]:
             break
     return steps, float(np.abs(error).max())
 

