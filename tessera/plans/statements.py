@@ -56,11 +56,11 @@ typed("p11_sql_parameters", "SELECT c_custkey, c_acctbal > $2 AS rich FROM custo
 typed("o1_sql_null_order", "SELECT doc_id, q FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x ORDER BY q DESC, doc_id LIMIT 50", "SELECT doc_id, q FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x ORDER BY q DESC NULLS FIRST, doc_id LIMIT 50")
 
 # Aggregates
-typed("a4_sql_real_aggregates", "SELECT n_regionkey, SUM(CAST(n_nationkey AS REAL)) AS s, AVG(CAST(n_nationkey AS REAL)) AS a, SUM(n_nationkey) / COUNT(*) AS m FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(sum(n_nationkey) AS REAL) AS s, CAST(avg(n_nationkey) AS REAL) AS a, sum(n_nationkey) // count(*) AS m FROM nation GROUP BY n_regionkey")
+typed("a4_sql_real_aggregates", "SELECT n_regionkey, SUM(CAST(n_nationkey AS REAL)) AS s, AVG(CAST(n_nationkey AS REAL)) AS a, SUM(n_nationkey) / COUNT(*) AS m FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(sum(n_nationkey) AS REAL) AS s, CAST(avg(n_nationkey) AS REAL) AS a, CAST(sum(n_nationkey) // count(*) AS BIGINT) AS m FROM nation GROUP BY n_regionkey")
 typed("a13_sql_group_by_all", "SELECT l_returnflag, 'all' AS c, COUNT(*) AS n FROM lineitem GROUP BY ALL")
-typed("a13_sql_constants_over_nothing", "SELECT 1 AS one, COUNT(*) AS n FROM orders WHERE o_orderkey < 0 GROUP BY ALL", "SELECT 1 AS one, 0 AS n")
-typed("a15_sql_rollup_over_nothing", "SELECT o_orderstatus, COUNT(*) AS n, SUM(o_custkey) AS s, GROUPING(o_orderstatus) AS g FROM orders WHERE o_orderkey < 0 GROUP BY ROLLUP(o_orderstatus)", "SELECT CAST(NULL AS VARCHAR) AS o_orderstatus, 0 AS n, CAST(NULL AS BIGINT) AS s, 1 AS g")
-typed("a14_sql_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, GROUPING(o_orderstatus, o_orderpriority) AS g FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority) HAVING COUNT(*) > 2 ORDER BY GROUPING(o_orderstatus, o_orderpriority), n")
+typed("a13_sql_constants_over_nothing", "SELECT 1 AS one, COUNT(*) AS n FROM orders WHERE o_orderkey < 0 GROUP BY ALL", "SELECT 1 AS one, CAST(0 AS BIGINT) AS n")
+typed("a15_sql_rollup_over_nothing", "SELECT o_orderstatus, COUNT(*) AS n, SUM(o_custkey) AS s, GROUPING(o_orderstatus) AS g FROM orders WHERE o_orderkey < 0 GROUP BY ROLLUP(o_orderstatus)", "SELECT CAST(NULL AS VARCHAR) AS o_orderstatus, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS s, 1 AS g")
+typed("a14_sql_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, GROUPING(o_orderstatus, o_orderpriority) AS g FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority) HAVING COUNT(*) > 2 ORDER BY GROUPING(o_orderstatus, o_orderpriority), n", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, CAST(GROUPING(o_orderstatus, o_orderpriority) AS INTEGER) AS g FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority) HAVING COUNT(*) > 2 ORDER BY GROUPING(o_orderstatus, o_orderpriority), n")
 typed("a8_sql_filter", "SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_totalprice > 100000) AS big, COUNT(DISTINCT o_custkey) AS c FROM orders GROUP BY o_orderstatus")
 
 # Windows
@@ -90,7 +90,7 @@ typed("u8_sql_precedence", "SELECT n_nationkey FROM nation WHERE n_nationkey < 3
 _N = "CREATE TABLE n (k INTEGER PRIMARY KEY, name TEXT, region INTEGER, note TEXT DEFAULT 'new')"
 _FILL = "INSERT INTO n (k, name, region) SELECT n_nationkey, n_name, n_regionkey FROM nation"
 script("d1_insert_values", [_N, "INSERT INTO n (k, name) VALUES (1, 'it''s'), (2, NULL)", "INSERT INTO n VALUES (3, 'c', 7, NULL)", "!INSERT INTO n (k) VALUES (9), (1)"], "SELECT k, name, region, note FROM n", "SELECT * FROM (VALUES (1, 'it''s', NULL, 'new'), (2, NULL, NULL, 'new'), (3, 'c', 7, NULL)) AS t(k, name, region, note)")
-script("d2_insert_select", [_N, _FILL, "INSERT INTO n (k, name) SELECT CAST(c_custkey + 100 AS INTEGER), c_name FROM customer"], "SELECT k, name, region, note FROM n", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region, 'new' AS note FROM nation UNION ALL SELECT c_custkey + 100, c_name, NULL, 'new' FROM customer")
+script("d2_insert_select", [_N, _FILL, "INSERT INTO n (k, name) SELECT CAST(c_custkey + 100 AS INTEGER), c_name FROM customer"], "SELECT k, name, region, note FROM n", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS region, 'new' AS note FROM nation UNION ALL SELECT CAST(c_custkey + 100 AS INTEGER), c_name, NULL, 'new' FROM customer")
 script("d3_do_nothing", [_N, _FILL, "INSERT INTO n (k, name) SELECT n_nationkey + 20, 'again' FROM nation ON CONFLICT (k) DO NOTHING"], "SELECT k, name FROM n", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT n_nationkey + 20, 'again' FROM nation WHERE n_nationkey + 20 NOT IN (SELECT n_nationkey FROM nation)")
 script("d4_do_update", [_N, _FILL, "INSERT INTO n (k, name) SELECT n_nationkey + 20, 'more' FROM nation ON CONFLICT (k) DO UPDATE SET region = n.region + 10, note = excluded.name WHERE n.region > 1"], "SELECT k, name, region, note FROM n", "SELECT n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey >= 20 AND n_regionkey > 1 THEN n_regionkey + 10 ELSE n_regionkey END AS region, CASE WHEN n_nationkey >= 20 AND n_regionkey > 1 THEN 'more' ELSE 'new' END AS note FROM nation UNION ALL SELECT n_nationkey + 20, 'more', NULL, 'new' FROM nation WHERE n_nationkey >= 5")
 script("d5_update", [_N, _FILL, "UPDATE n SET region = region * 2, name = UPPER(name) WHERE k / 2 > 5", "UPDATE n SET k = k + 100 WHERE region = 0"], "SELECT k, name, region FROM n", "SELECT CASE WHEN n_regionkey = 0 THEN n_nationkey + 100 ELSE n_nationkey END AS k, CASE WHEN n_nationkey >= 12 THEN upper(n_name) ELSE n_name END AS name, CASE WHEN n_nationkey >= 12 THEN n_regionkey * 2 ELSE n_regionkey END AS region FROM nation")
