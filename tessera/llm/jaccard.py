@@ -161,7 +161,10 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     Members are checked against their centre a in chunks; a centre's text goes to each of its chunks once.
     """
-    chunks = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    pairs = materialize(pairs, "pairs", small=True)
+    chunks = materialize(pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "chunks", small=True)
+    # Broadcast where they are few, so that the members of a large centre stay spread.
+    chunks = F.broadcast(chunks) if chunks.count() <= BROADCAST_IDS else chunks
     chunk = F.pmod(F.xxhash64("b"), F.col("chunks"))
     members = pairs.join(chunks, F.col("a") == F.col("of")).select("a", F.col("b").alias("doc_id"), F.xxhash64("a", chunk).alias("cell"), F.lit(True).alias("is_member"))
     centres = members.select("a", F.col("a").alias("doc_id"), "cell", F.lit(False).alias("is_member")).distinct()
