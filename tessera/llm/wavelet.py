@@ -26,6 +26,7 @@ from tessera.llm.tokens import DEFAULT_VOCABULARY, worker_encoder
 BLOCK = 512  # bits per entry of the directory
 SAMPLE = 8192  # bits of a kind between two samples for select
 MAX_READERS = 10_000  # tasks that read shards back
+ENCODED = 8 << 20  # bytes of text that are encoded at once, and a batch more: the more, the fewer look-ups of words
 MANIFEST_DDL = "part int, shard int, n_tokens long"
 MANIFEST = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64())])
 
@@ -163,6 +164,19 @@ def open_shard(path: str, whole: bool = False) -> tuple[np.ndarray, np.ndarray,
     return unpacked(ids), unpacked(known).astype(bool), unpacked(lengths), WaveletMatrix(n, unpacked(alphabet), zeros, planes, ones, samples)
 
 
+def _groups(batches):
+    """Batches joined to tables of ENCODED bytes or little more."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= ENCODED:
+            yield pa.Table.from_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def _writer(path: str, vocabulary: str, end_id: int, shard_tokens: int):
     tail = np.uint32(end_id).tobytes()
 
@@ -177,8 +191,8 @@ def _writer(path: str, vocabulary: str, end_id: int, shard_tokens: int):
     def run(batches):
         part, encoder, number = TaskContext.get().partitionId(), worker_encoder(vocabulary), 0
         docs, ids, held = [], [], 0
-        for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for given in _groups(batches):
+            for doc, found in zip(given.column(0).to_pylist(), encoder.encode(given.column(1).to_pylist()), strict=True):
                 docs.append(doc)
                 ids.append(found + tail)
                 held += len(found) // 4 + 1

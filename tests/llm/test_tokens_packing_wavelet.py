@@ -33,6 +33,30 @@ def test_pieces_encode_like_whole_texts_at_random(text):
     assert ENCODER.encode([text])[0] == plain(text).tobytes()
 
 
+MARKED = ["(a, b.) c_d! _x_. 12. \xfc, \xdf; x'. it's, it's' y\xb2! \xf1\xb2 \u0416. \u4e2d. \xd7. \xe9\u0301, a\nb.\nc, \n?! x", "!!", "...", "a.", "x_.", "'s. ', a'!", "a\tb. c"]
+
+
+@pytest.mark.parametrize("text", MARKED)
+def test_pieces_that_end_with_marks_encode_like_whole_texts(text):
+    assert Encoder().encode([text, text])[1] == plain(text).tobytes()
+
+
+def test_known_words_with_marks_behind_them_do_not_go_to_the_library():
+    random.seed(4)
+    words = ["".join(random.choices("abcdefghij", k=9)) for _ in range(100)]
+    marked = " ".join(w + m for m in (".", ",", "!!", ";)") for w in words)
+    encoder, sent = Encoder(), []
+    encoder.encode(["x " + " ".join(words)])
+
+    class Counting:
+        def __getattr__(self, name, of=encoder.tokenizer):
+            return lambda given, **options: sent.append(len("".join(given))) or getattr(of, name)(given, **options)
+
+    encoder.tokenizer = Counting()
+    assert encoder.encode(["x " + marked])[0] == plain("x " + marked).tobytes()
+    assert sum(sent) < 50  # the marks alone
+
+
 def documents(spark):
     random.seed(3)
     word = lambda: "".join(random.choices("abcdefghij", k=random.randint(1, 9)))
