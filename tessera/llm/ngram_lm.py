@@ -23,8 +23,8 @@ from tessera.llm.words import mix, word_hashes
 ORDER = 3
 #: Hash of the end, which is a token.
 END = np.uint64(0x5BE0CD19137E2179)
-#: Text bytes behind one shard, and events that a task combines at once.
-SHARD_BYTES, COMBINE = 16 << 20, 3_000_000
+#: Text bytes behind one shard, events that a task combines at once, and tokens that are scored at once.
+SHARD_BYTES, COMBINE, SCORED = 16 << 20, 3_000_000, 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -50,6 +50,57 @@ def shard_of(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return high >> np.uint64(32), (high << np.uint64(32)) | (low & _LOW)
 
 
+def by_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of hashes in ascending order, equal ones as they come, and the hashes so ordered.
+
+    Sorting numbers is several times as fast as sorting places by them, so the places replace the low bits; the few
+    hashes that differ there only are put right afterwards.
+    """
+    low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
+    both = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():
+        upper = found | low
+        mixed = np.unique(upper[1:][found[1:] < found[:-1]])
+        if len(mixed) > 1000:  # not spread as hashes are
+            order = np.argsort(keys, kind="stable")
+            return order, keys[order]
+        for i, j in zip(np.searchsorted(upper, mixed).tolist(), np.searchsorted(upper, mixed, side="right").tolist(), strict=True):
+            again = np.argsort(found[i:j], kind="stable")
+            order[i:j], found[i:j] = order[i:j][again], found[i:j][again]
+    return order, found
+
+
+def by_numbers(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """The places of rows by two numbers, or by one."""
+    first = first.astype(np.uint64)
+    bits = 0
+    if second is not None:
+        second = second.astype(np.uint64) & _LOW
+        bits = int(second.max()).bit_length() if len(second) else 0
+        first = (first << np.uint64(bits)) | second
+    of_place = max(1, len(first) - 1).bit_length()
+    if len(first) and int(first.max()).bit_length() + of_place > 64:
+        return np.argsort(first)
+    both = (first << np.uint64(of_place)) | np.arange(len(first), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << of_place) - 1)).astype(np.int64)
+
+
+def _first_of_each(ascending: np.ndarray) -> np.ndarray:
+    """Marks on the first of each run of equal numbers."""
+    return np.concatenate([np.ones(min(1, len(ascending)), bool), ascending[1:] != ascending[:-1]])
+
+
+def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct numbers of two ascending arrays, ascending."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # merges the two
+    return both.compress(_first_of_each(both))
+
+
 # Blobs: columns of equal length, the first as differences, byte planes compressed.
 BLOB = pa.schema([("shard", pa.int64()), ("kind", pa.string()), ("body", pa.binary())])
 BLOB_DDL = "shard long, kind string, body binary"
@@ -78,8 +129,7 @@ def _blobs(kind: str, keys: np.ndarray, columns: list[np.ndarray], n_ids: int, s
     cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else [0]
     for i, j in zip(cuts[:-1], cuts[1:]):
         part = [c[i:j] for c in columns]
-        first = part[0].astype(np.uint64)
-        order = np.argsort((first << np.uint64(32)) | (part[1].astype(np.uint64) & _LOW) if n_ids > 1 else first)
+        order = by_numbers(part[0], part[1] if n_ids > 1 else None)
         yield pa.RecordBatch.from_pylist([{"shard": int(shard[i]), "kind": kind, "body": _packed([c[order] for c in part])}], schema=BLOB)
 
 
@@ -87,9 +137,8 @@ def _summed(keys: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray
     """Distinct keys ascending, a row of columns each, and the sums of counts."""
     if not len(keys):
         return keys, columns, counts
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    order, keys = by_hash(keys)
+    at = np.flatnonzero(_first_of_each(keys))
     return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(c[order], at) for c in counts]
 
 
@@ -194,7 +243,11 @@ class Words:
         self.kind = np.uint32 if self.unknown < 1 << 32 else np.uint64
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words, of_word = np.unique(hashes, return_inverse=True)
+        order, words = by_hash(hashes)
+        head = _first_of_each(words)
+        of_word = np.empty(len(hashes), np.int64)
+        of_word[order] = head.cumsum() - 1
+        words = words.compress(head)
         ids, counts = np.full(len(words), self.unknown, self.kind), np.zeros(len(words), np.int64)
         for shard, part in _parts(shard_of(words, self.about["shards"])[0]):
             if shard in self.about["bases"]:
@@ -274,7 +327,7 @@ def _merged(about: dict, level: int):
             everything, stats = keys, []
             if level < order:
                 contexts, _, stats = gathered(rows, "context", 4)
-                everything = np.union1d(keys, contexts)
+                everything = union(keys, contexts)
                 stats = [_placed(everything, contexts, s) for s in stats]
             _, place = shard_of(everything, shards)
             arrays = _sparse(_placed(everything, keys, n))
@@ -346,10 +399,9 @@ class Model:
 
     def look_up(self, level: int, keys: np.ndarray) -> list[np.ndarray]:
         """Counts of n-grams, and below the highest order the total and the classes of what follows them."""
-        order = np.argsort(keys)
-        of_sorted = keys[order]
-        head = np.concatenate([[True], of_sorted[1:] != of_sorted[:-1]])
-        distinct = of_sorted[head]
+        order, of_sorted = by_hash(keys)
+        head = _first_of_each(of_sorted)
+        distinct = of_sorted.compress(head)
         shard, place = shard_of(distinct, self.about["shards"])
         out = [np.zeros(len(distinct), np.int64) for _ in range(1 if level == self.about["order"] else 5)]
         for k, part in _parts(shard):
@@ -406,18 +458,30 @@ class Model:
 def _scored(about: dict):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+    def scored(model: Model, held: list):
+        """held: rows, the hashes of their words, and after how many hashes each row ends."""
+        n, v = about["tokens"], about["words"]
+        base = np.append(0, np.cumsum([len(hashes) for _, hashes, _ in held]))
+        tokens, ends = with_ends(np.concatenate([hashes for _, hashes, _ in held]), np.concatenate([e + b for (_, _, e), b in zip(held, base)]))
+        ids, counts = model.words.look_up(tokens)
+        logs = model.score(*model.words.padded(ids, ends, about["order"]))
+        base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+        starts = np.concatenate([[0], ends[:-1]])
+        sums = lambda x: np.add.reduceat(x, starts)
+        doc, out = (pa.concat_arrays([rows.column(k) for rows, _, _ in held]) for k in range(2))
+        return pa.record_batch([doc, out, pa.array(np.diff(ends, prepend=0)), pa.array(sums((counts > 0).astype(np.int64))), pa.array(np.full(len(ends), n, np.int64)), pa.array(sums(base)), pa.array(sums(logs))], schema=schema)
+
     def run(batches):
-        model, n, v = Model(about), about["tokens"], about["words"]
+        model, held, size = Model(about), [], 0
         for batch in batches:
             for i, j, hashes, ends in word_hashes(batch.column(2)):
-                tokens, ends = with_ends(hashes, ends)
-                ids, counts = model.words.look_up(tokens)
-                logs = model.score(*model.words.padded(ids, ends, about["order"]))
-                base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-                starts = np.concatenate([[0], ends[:-1]])
-                sums = lambda x: np.add.reduceat(x, starts)
-                some = batch.slice(i, j - i)
-                yield pa.record_batch([some.column(0), some.column(1), pa.array(np.diff(ends, prepend=0)), pa.array(sums((counts > 0).astype(np.int64))), pa.array(np.full(j - i, n, np.int64)), pa.array(sums(base)), pa.array(sums(logs))], schema=schema)
+                held.append((batch.select([0, 1]).slice(i, j - i), hashes, ends))
+                size += len(hashes) + j - i
+                if size >= SCORED:  # the more at once, the nearer to each other what is looked up
+                    yield scored(model, held)
+                    held, size = [], 0
+        if held:
+            yield scored(model, held)
 
     return run
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import files, ngram_lm
@@ -99,3 +100,30 @@ def test_files_come_back(spark):
     arrays = [np.arange(5, dtype=np.uint64), np.arange(3, dtype=np.uint8), np.zeros(0, np.int64), np.arange(7, dtype=np.uint32)]
     files.save(path, arrays)
     assert [a.tolist() for a in files.load(path)] == [a.tolist() for a in arrays]
+
+
+def test_hashes_that_differ_in_low_bits_only_are_ordered_and_kept_apart():
+    rng = np.random.default_rng(5)
+    keys = np.concatenate([rng.integers(0, 1 << 63, 3000, np.uint64), (np.uint64(7) << np.uint64(40)) + rng.integers(0, 50, 3000).astype(np.uint64)])
+    for some in (rng.permutation(keys), np.arange(5000, dtype=np.uint64)[::-1], keys[:1], keys[:0]):
+        order, found = ngram_lm.by_hash(some)
+        wanted = np.argsort(some, kind="stable")
+        assert (order == wanted).all() and (found == some[wanted]).all()
+    a, b = np.unique(keys[:4000]), np.unique(keys[2000:])
+    assert (ngram_lm.union(a, b) == np.unique(keys)).all() and not len(ngram_lm.union(a[:0], a[:0]))
+    for first, second in ((rng.integers(0, 99, 500, np.uint32), rng.integers(0, 99, 500, np.uint32)), (rng.integers(0, 1 << 62, 500, np.uint64), None)):
+        order = ngram_lm.by_numbers(first, second)
+        assert (order == np.lexsort((first if second is None else second, first))).all()
+
+
+def test_small_batches_are_scored_together(spark, tmp_path, monkeypatch):
+    texts = [f"a b c{i % 3} d{i % 5} a b" for i in range(40)]
+    about = ngram_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), path=f"file://{tmp_path}/lm")
+    rows = pa.table({"doc_id": pa.array(range(40), pa.int64()), "held_out": [False] * 40, "text": texts})
+    calls, score = [], ngram_lm.Model.score
+    monkeypatch.setattr(ngram_lm.Model, "score", lambda self, *a: calls.append(1) or score(self, *a))
+    run = lambda n: pa.Table.from_batches(ngram_lm._scored(about)(iter(rows.to_batches(max_chunksize=n))))
+    together = run(5)
+    assert len(calls) == 1
+    monkeypatch.setattr(ngram_lm, "SCORED", 1)
+    assert run(1).equals(together) and len(calls) == 41
