@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.files import load, runs, save
 from tessera.llm.shared import drop_path, fresh_path, lean, materialize, small_batches
-from tessera.llm.words import mix, word_hashes
+from tessera.llm.words import by_hash, mix, word_hashes
 
 ORDER = 3
 #: Hash of the end, which is a token.
@@ -50,29 +50,6 @@ def shard_of(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return high >> np.uint64(32), (high << np.uint64(32)) | (low & _LOW)
 
 
-def by_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of hashes in ascending order, equal ones as they come, and the hashes so ordered.
-
-    Sorting numbers is several times as fast as sorting places by them, so the places replace the low bits; the few
-    hashes that differ there only are put right afterwards.
-    """
-    low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
-    both = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
-    both.sort()
-    order = (both & low).astype(np.int64)
-    found = keys[order]
-    if (found[1:] < found[:-1]).any():
-        upper = found | low
-        mixed = np.unique(upper[1:][found[1:] < found[:-1]])
-        if len(mixed) > 1000:  # not spread as hashes are
-            order = np.argsort(keys, kind="stable")
-            return order, keys[order]
-        for i, j in zip(np.searchsorted(upper, mixed).tolist(), np.searchsorted(upper, mixed, side="right").tolist(), strict=True):
-            again = np.argsort(found[i:j], kind="stable")
-            order[i:j], found[i:j] = order[i:j][again], found[i:j][again]
-    return order, found
-
-
 def by_numbers(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
     """The places of rows by two numbers, or by one."""
     first = first.astype(np.uint64)

@@ -34,13 +34,22 @@ def joined(texts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def suffixes(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Positions by the order of what begins there, to its END; equal ones by position. left: bytes before each position's END."""
     n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    # Sorted are numbers that end with a place, which is several times as fast as sorting places by numbers.
+    bits = np.uint64(max(1, n - 1).bit_length())
+    step = (64 - int(bits)) // 8
     first = _eights(data, ">u8")[:n].astype(np.uint64)
     short = np.flatnonzero(left < 7)
     keep = (7 - left[short]).astype(np.uint64) * np.uint64(8)
     first[short] = (first[short] >> keep) << keep
-    order = np.argsort(first).astype(np.int64)
-    slots, key, step = np.arange(n), first[order], 8
-    rank = np.empty(n, np.int64)
+    first >>= np.uint64(64 - 8 * step)
+    first = (first << bits) | np.arange(n, dtype=np.uint64)
+    first.sort()
+    order, key = (first & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), first >> bits
+    if int(left.max()) < 256:
+        left = left.astype(np.uint8)  # fits into the processor's memory
+    slots, rank = np.arange(n), np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     while True:
         new = np.concatenate([[True], key[1:] != key[:-1]])
         head = np.flatnonzero(new)
@@ -50,12 +59,19 @@ def suffixes(data: np.ndarray, left: np.ndarray) -> np.ndarray:
         more = np.repeat(size > 1, size)
         if not more.any():
             return order
-        slots, at = slots[more], at[more]
+        slots, at, group = slots.compress(more), at.compress(more), new.compress(more).cumsum(dtype=np.uint64) - np.uint64(1)
         # What has ended is told apart by its position; the rest by what follows the part that is compared already.
         second = np.where(left[at] < step, at, rank[np.minimum(at + step, n - 1)])
-        key = (rank[at].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        by_key = np.argsort(key)
-        order[slots], key = at[by_key], key[by_key]
+        key = (group << bits) | second.astype(np.uint64)
+        of_place = np.uint64(max(1, len(at) - 1).bit_length())
+        if int(key[-1] >> bits).bit_length() + int(bits) + int(of_place) <= 64:
+            key = (key << of_place) | np.arange(len(at), dtype=np.uint64)
+            key.sort()
+            by_key, key = (key & ((np.uint64(1) << of_place) - np.uint64(1))).astype(np.int64), key >> of_place
+        else:
+            by_key = np.argsort(key)
+            key = key[by_key]
+        order[slots] = at[by_key]
         step *= 2
 
 
@@ -77,11 +93,13 @@ class RunIndex:
         self.lf = np.empty(len(head), np.int64)
         self.lf[by_char] = length[by_char].cumsum() - length[by_char]
         self.bounds = np.append(head, len(order))
-        self.lands = np.searchsorted(head, self.lf, side="right") - 1
+        self.lands = np.empty(len(head), np.int64)
+        self.lands[by_char] = np.searchsorted(head, self.lf[by_char], side="right") - 1  # ascending: neighbours are looked up together
         # Samples of the run ends, in the order of (character, row).
         self.keys = (char[by_char].astype(np.int64) << 40) | head[by_char]
         self.last_row = (head + length - 1)[by_char]
         self.head_at, self.tail_at = order[head[by_char]], order[self.last_row]
+        self.goes, self.goes_run = self.lf[by_char], self.lands[by_char]
         self._intervals(order, left, own, numbers)
 
     def _intervals(self, order: np.ndarray, left: np.ndarray, own: np.ndarray, numbers: np.ndarray) -> None:
@@ -125,42 +143,42 @@ class RunIndex:
             off = np.flatnonzero(self.char[run] != byte)
             moved = self.lf[run] + row - self.first_row[run]
             if len(off):
-                moved[off], matched[off], found[off] = self._jump(row[off], byte[off], matched[off] - 1, eight, begin[off] + place[off] + 1)
-            row, run = moved, self._run_of(moved, self.lands[run], off)
+                moved[off], matched[off], found[off], jumped = self._jump(row[off], byte[off], matched[off] - 1, eight, begin[off] + place[off] + 1)
+            guess = self.lands[run]
+            if len(off):
+                guess[off] = jumped
+            row, run = moved, self._run_of(moved, guess)
             yield by_size[:active], place, matched, row, found
 
-    def _run_of(self, row: np.ndarray, guess: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The runs of rows: few runs after where their runs' first rows went, or anywhere for those that jumped."""
-        guess[off] = 0  # looked up below
+    def _run_of(self, row: np.ndarray, guess: np.ndarray) -> np.ndarray:
+        """The runs of rows, which are few runs after where their runs' first rows went."""
         late = np.flatnonzero(row >= self.bounds[guess + 1])
         for _ in range(4):
             if not len(late):
-                break
+                return guess
             guess[late] += 1
             late = late[row[late] >= self.bounds[guess[late] + 1]]
-        for rest in (late, off):
-            if len(rest):
-                guess[rest] = np.searchsorted(self.first_row, row[rest], side="right") - 1
+        guess[late] = np.searchsorted(self.first_row, row[late], side="right") - 1
         return guess
 
-    def _jump(self, row: np.ndarray, byte: np.ndarray, matched: np.ndarray, eight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, match lengths and places after a step on a character that the run at hand does not have."""
+    def _jump(self, row: np.ndarray, byte: np.ndarray, matched: np.ndarray, eight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, match lengths, places and the runs to look from after a step on a character that the run at hand does not have."""
         below = np.searchsorted(self.keys, (byte.astype(np.int64) << 40) | row)
         ends = len(self.data) - len(self.start)
         best, target, place = np.full(len(row), -1, np.int64), np.full(len(row), ends, np.int64), np.full(len(row), self.start[1] - 1 if len(self.start) > 1 else len(self.data) - 1)
+        near = np.full(len(row), np.searchsorted(self.first_row, ends, side="right") - 1)
         for run, samples, rows in ((below - 1, self.tail_at, self.last_row), (below, self.head_at, None)):
             there = np.flatnonzero((run >= 0) & (run < len(self.keys)))
             there = there[self.keys[run[there]] >> 40 == byte[there]]
             which = run[there]
             common = self._common(eight, at[there], samples[which], matched[there])
-            first = self.keys[which] & ((1 << 40) - 1)
-            goes = self._lf_of(first) + ((rows[which] - first) if rows is not None else 0)
+            goes = self.goes[which]
+            if rows is not None:
+                goes = goes + rows[which] - (self.keys[which] & ((1 << 40) - 1))
             better = common > best[there]
             best[there[better]], target[there[better]], place[there[better]] = common[better], goes[better], samples[which][better] - 1
-        return target, best + 1, place
-
-    def _lf_of(self, first: np.ndarray) -> np.ndarray:
-        return self.lf[np.searchsorted(self.first_row, first)]
+            near[there[better]] = self.goes_run[which[better]]
+        return target, best + 1, place, near
 
     def _common(self, eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes the pattern from a on and the indexed text from b on have in common, `most` at most."""

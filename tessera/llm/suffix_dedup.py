@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.files import load, runs, save
 from tessera.llm.run_index import RunIndex
 from tessera.llm.shared import drop_path, fresh_path, lean, materialize, small_batches
-from tessera.llm.words import mix, texts_of
+from tessera.llm.words import by_hash, mix, texts_of
 
 WINDOW, ANCHOR = 50, 20
 #: Windows handled at once (longer texts are cut between windows), text bytes behind one shard, stretches dealt at once.
@@ -60,7 +60,8 @@ def _blob(shard: int, kind: str, arrays) -> pa.RecordBatch:
 
 def _split(arrays, shard: np.ndarray, kind: str):
     """A blob of the rows of each shard, their order kept."""
-    order = np.argsort(shard, kind="stable")
+    few = len(shard) and int(shard.max()) < 1 << 16  # numbers of 16 bits are sorted in one pass
+    order = np.argsort(shard.astype(np.uint16) if few else shard, kind="stable")
     at = shard[order]
     cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]]) if len(at) else [0]
     for i, j in zip(cuts[:-1], cuts[1:]):
@@ -117,6 +118,15 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return first, last, anchor, grams[anchor], content
 
 
+def _within(order: np.ndarray, ascending: np.ndarray, *finer: np.ndarray) -> np.ndarray:
+    """The places `order`, by which a number ascends, ordered among equals by the further ones, the first of them above the others."""
+    head = np.concatenate([[True], ascending[1:] != ascending[:-1]])
+    more = np.flatnonzero(~(head & np.append(head[1:], True)))
+    some = order[more]
+    order[more] = some[np.lexsort((*(x[some] for x in reversed(finer)), ascending[more]))]
+    return order
+
+
 def _pieces(batch: pa.RecordBatch):
     """(bytes, ends, rows of the batch, position of each text's part) of about CHUNK bytes each."""
     data, at = texts_of(batch.column("text"))
@@ -137,8 +147,8 @@ def _anchored(shards: int):
 
     def dealt(held: list):
         gram, content, before, after, doc, check, at, times = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, check, doc, content))
-        of = content[order]
+        order, of = by_hash(content)
+        order = _within(order, of, doc, check, at)
         head = np.concatenate([[True], of[1:] != of[:-1]])
         begin = np.flatnonzero(head)
         several = doc[order][np.append(begin[1:], len(of)) - 1] != doc[order][begin]
@@ -196,7 +206,11 @@ def _settled(shards: int):
 
     def solved(held: list) -> tuple[list, tuple]:
         found = [np.concatenate(x) for x in zip(*held, strict=True)]
-        order = np.lexsort((found[4], found[1], found[0]))
+        # Anchors (32 bits) and places in one number; most anchors come once.
+        bits = np.uint64(max(1, len(found[0]) - 1).bit_length())
+        both = (found[0].astype(np.uint64) << bits) | np.arange(len(found[0]), dtype=np.uint64)
+        both.sort()
+        order = _within((both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits, found[1], found[4])
         found = [x[order] for x in found]
         gram, content, doc, several = found[0], found[1], found[4], found[8]
         of_gram = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import suffix_dedup as sd
-from tessera.llm.run_index import RunIndex
+from tessera.llm.run_index import RunIndex, joined, suffixes
 
 
 def brute(rows, w=50):
@@ -139,3 +139,23 @@ def test_a_repetitive_corpus_has_few_runs():
     texts = [base] * 40
     index = RunIndex(np.frombuffer(b"".join(texts), np.uint8), np.array([3000] * 40), np.arange(40), 50)
     assert len(index.char) < 3100 and len(index.data) == 40 * 3001
+
+
+def test_suffixes_are_sorted_without_sorting_places_by_numbers(monkeypatch):
+    rng = random.Random(8)
+    words = [bytes(rng.choices(b"ab", k=rng.randint(1, 30))) for _ in range(12)]
+    texts = [b"".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(150)]
+    size = np.array([len(t) for t in texts])
+    data, start = joined(np.frombuffer(b"".join(texts), np.uint8), size)
+    left = (start + size)[np.repeat(np.arange(len(size)), size + 1)] - np.arange(len(data))
+    monkeypatch.setattr(np, "argsort", None)  # it took more than a quarter of the index
+    whole = data.tobytes()
+    assert suffixes(data, left).tolist() == sorted(range(len(data)), key=lambda i: (whole[i : i + left[i] + 1], i))
+    assert not len(suffixes(data[:0], left[:0]))
+
+
+def test_places_within_equal_numbers_follow_the_finer_ones():
+    rng = np.random.default_rng(9)
+    coarse, fine, finest = (rng.integers(0, n, 400) for n in (120, 3, 9))
+    order = np.argsort(coarse, kind="stable")
+    assert (sd._within(order, coarse[order], fine, finest) == np.lexsort((finest, fine, coarse))).all()
