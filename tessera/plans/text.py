@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.dialect.rewrite import ordered_limits
 from tessera.plans.catalogue import register, table
 from tessera.session import configure
 
@@ -13,7 +14,7 @@ from tessera.session import configure
 def run(spark: SparkSession, d: str, text: str) -> DataFrame:
     """Run SQL over the driver's tables, each read with only the columns and rows the plan needs."""
     names = set(re.findall(r"{(\w+)}", text))
-    return configure(spark).sql(text, **{n: table(spark, d, n) for n in names})
+    return configure(spark).sql(ordered_limits(text), **{n: table(spark, d, n) for n in names})
 
 
 def plain(text: str) -> str:
