@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.profile import profile
-from tessera.operators import grouping, quantified, recursion, setops, versions, windows
+from tessera.operators import counting, grouping, quantified, recursion, setops, versions, windows
 from tessera.plans.catalogue import register, table
 from tessera.plans.text import run
 from tessera.session import configure
@@ -105,6 +105,18 @@ register("a16_group_by_nothing", lambda spark, d: grouping.grouping_sets(_part(s
 register("a13_group_by_all", lambda spark, d: grouping.group_by_all(_part(spark, d), {"p_brand": F.col("p_brand")}, {"one": F.lit(1)}, [F.count(F.lit(1)).alias("n")]), "SELECT p_brand, 1 AS one, count(*) AS n FROM part GROUP BY p_brand")
 register("a13_group_by_all_constants_only", lambda spark, d: grouping.group_by_all(_part(spark, d).filter("p_partkey < 0"), {}, {"one": F.lit(1)}, [F.count(F.lit(1)).alias("n")]), "SELECT 1 AS one, count(*) AS n FROM part WHERE p_partkey < 0")
 
+# Joins
+def _j4(spark: SparkSession, d: str) -> DataFrame:
+    # Suppliers and customers of a nation are counted and multiplied: their pairs grow with the square of the tables.
+    region, nation, supplier, customer = (table(configure(spark), d, t) for t in ("region", "nation", "supplier", "customer"))
+    sides = counting.join_weighed(counting.weighed(supplier, "s_nationkey"), counting.weighed(customer, "c_nationkey"), ("s_nationkey", "c_nationkey"), "s_nationkey")
+    nations = counting.join_weighed(counting.weighed(nation, "n_nationkey", "n_regionkey"), sides, ("n_nationkey", "s_nationkey"), "n_regionkey")
+    return counting.join_weighed(counting.weighed(region, "r_regionkey", "r_name"), nations, ("r_regionkey", "n_regionkey"), "r_name")
+
+
+register("j4_multi_self", _j4, "SELECT r.r_name, COUNT(*) AS n FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN supplier s ON s.s_nationkey = n.n_nationkey JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY r.r_name")
+
+
 # Quantified comparisons as values: a plain set, one with NULLs, an empty one
 _MEMBERS = {
     "plain": "SELECT n_nationkey AS y FROM {nation} WHERE n_nationkey BETWEEN 5 AND 12",
